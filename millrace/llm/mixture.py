@@ -73,6 +73,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1
     return placed.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + once_more).cast("long").alias("taken"), (whole + fits).alias("epochs"))
 
 
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, most: int = 2) -> DataFrame:
+    """The rows of docs as often as the mix takes them, whole, with all their columns. Rows without words count as taken.
+
+    A source's cut is a place in its order, so each row decides by its own key: a row a source is all that is joined.
+    """
+    taken = mix(docs, weights, budget, most, cut="whole")
+    key = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("int")
+    ends = taken.withColumn("whole", whole).groupBy(F.col("source").alias("__source")).agg(F.first("whole").alias("__whole"), F.max(F.when(F.col("epochs") > F.col("whole"), F.struct(key.alias("key"), F.col("size").alias("size")))).alias("__end"))
+    place = F.struct(key.alias("key"), word_count(F.col("text")).alias("size"))
+    joined = docs.join(ends, F.col("source").eqNullSafe(F.col("__source")))
+    times = F.col("__whole") + F.coalesce((place <= F.col("__end")).cast("int"), F.lit(0))
+    return joined.withColumn("__times", F.explode(F.sequence(F.lit(0), times))).where("__times > 0").select(*[docs[c] for c in docs.columns])
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k FROM documents),
 s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS rank FROM d GROUP BY source),
