@@ -26,6 +26,8 @@ class Scratch:
     """Written tables of one operator call: each cuts the lineage, so a lost executor costs one stage, not the job."""
 
     def __init__(self, spark: SparkSession, name: str):
+        # Arrow batches are cut by size too, so that long texts don't add up in a Python worker.
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def cut(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
