@@ -242,6 +242,10 @@ def context_tables(texts: DataFrame, tree: Tree, scratch: Scratch) -> list[np.nd
     return out
 
 
+#: What the two bytes of a slot stand for.
+_SHARES, _AMOUNTS = (np.arange(256) / 255).astype(np.float32), (np.exp2(np.arange(256) / 16) - 1).astype(np.float32)
+
+
 def _packed(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each slot: the share of ones in 255ths and the logarithm of its count, a byte each."""
     n = table.sum(1, dtype=np.float64)
@@ -259,33 +263,38 @@ def score_texts(reader: Reader, tables, texts: list[bytes], given: dict[int, int
     block = place // BLOCK
     order = np.argsort(block, kind="stable")
     token, node, bit, slots = _expand(tree, leaf[order], [c[order] for c in contexts])
-    base, first = tree.stretch[node], tree.one[node]
+    base, first = tree.stretch.astype(np.float32)[node], (0.6 * tree.one).astype(np.float32)[node]
     inputs, seen = [], []
     for (share, amount), s in zip(tables, slots):
-        n = np.exp2(amount[s] / 16.0) - 1
-        p = (n * (share[s] / 255.0) + 0.6 * first) / (n + 0.6)
-        p = np.clip(p, 1e-4, 1 - 1e-4)
-        inputs.append(np.log(p / (1 - p)) - base)
+        n = _AMOUNTS[amount[s]]
+        ones = n * _SHARES[share[s]]
+        ones += first
+        odds = np.log(np.clip(ones / (n + np.float32(0.6) - ones), np.float32(1e-4), np.float32(1e4)))
+        inputs.append(odds - base)
         seen.append(n)
-    gate = np.digitize(seen[0], (0.5, 3.0, 30.0)) * 3 + np.digitize(seen[1], (0.5, 3.0))
+    one, two = seen[0], seen[1]
+    gate = ((one >= 0.5).astype(np.int64) + (one >= 3) + (one >= 30)) * 3 + (two >= 0.5) + (two >= 3)
     d = doc[order][token]
-    weights = np.tile(np.array(START), (len(sizes) * GATES, 1))
-    bias = np.zeros(len(sizes) * BUCKETS)
+    weights = [np.full(len(sizes) * GATES, w, np.float32) for w in START]
+    bias = np.zeros(len(sizes) * BUCKETS, np.float32)
     ends = np.searchsorted(block[order][token], np.arange(int(block.max(initial=-1)) + 2))
     for a, b in zip(ends, ends[1:]):
         x = [i[a:b] for i in inputs]
         g = d[a:b] * GATES + gate[a:b]
-        w = weights[g]
-        z = np.clip(base[a:b] + w[:, 0] * x[0] + w[:, 1] * x[1] + w[:, 2] * x[2], -12, 12)
+        z = base[a:b] + weights[0][g] * x[0]
+        z += weights[1][g] * x[1]
+        z += weights[2][g] * x[2]
+        np.clip(z, -11.5, 11.5, out=z)
         y = bit[a:b]
-        bucket = d[a:b] * BUCKETS + np.clip(z + BUCKETS // 2, 0, BUCKETS - 1).astype(np.int64)
-        refined = np.clip(z + bias[bucket], -14, 14)
-        result += np.bincount(d[a:b], -np.log1p(np.exp(np.where(y == 1, -refined, refined))), len(sizes)) / np.log(10)
+        bucket = d[a:b] * BUCKETS + (z + np.float32(BUCKETS // 2)).astype(np.int64)
+        refined = np.clip(z + bias[bucket], -13, 13)
+        sign = (1 - 2 * y).astype(np.float32)
+        result -= np.bincount(d[a:b], np.log1p(np.exp(sign * refined)), len(sizes)) / np.log(10)
         wrong, again = y - 1 / (1 + np.exp(-z)), y - 1 / (1 + np.exp(-refined))
-        g_all, n = len(weights), np.bincount(g, minlength=len(weights))
+        n = np.bincount(g, minlength=len(weights[0])) + 60
         for k in range(3):
-            weights[:, k] += 0.8 * np.bincount(g, wrong * x[k], g_all) / (n + 60)
-        bias += 0.5 * np.bincount(bucket, again, len(bias)) / (np.bincount(bucket, minlength=len(bias)) + 40)
+            weights[k] += (0.8 * np.bincount(g, wrong * x[k], len(n)) / n).astype(np.float32)
+        bias += (0.5 * np.bincount(bucket, again, len(bias)) / (np.bincount(bucket, minlength=len(bias)) + 40)).astype(np.float32)
     n_known = np.bincount(doc, reader.n[idx] > 0, len(sizes)).astype(int)
     return sizes, n_known, reader.n[idx], doc, result
 
