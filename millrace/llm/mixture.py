@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import word_count
+from .common import Scratch, word_count
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, most: int = 2) -> DataFrame:
@@ -38,7 +38,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: fl
     return level.select("source", "source_size", "rank", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, most: int = 2, cut: str = "exact", rows_a_bucket: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, most: int = 2, cut: str = "exact", rows_a_bucket: int = 4_000) -> DataFrame:
     """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, taken, epochs.
 
     Each source goes through its documents in the order of md5("mix:" + doc_id): as many whole epochs as its target
@@ -51,6 +51,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1
     """
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     rows = rows.withColumn("key", F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
+    rows = Scratch(docs.sparkSession, "mixture").cut(rows, "rows")  # texts are read once; what follows works on sizes
     counted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")).select("source", "source_size"), weights, budget, most)
     per_source = rows.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n_rows"))
     counted = counted.join(per_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
