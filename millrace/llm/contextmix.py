@@ -14,6 +14,7 @@ import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,29 @@ def _hash(word: bytes) -> int:
 
 
 def _class(word: bytes) -> int:
-    return zlib.crc32(word.decode("utf-8", "replace")[:2].encode()) % CLASSES
+    head = word[:2] if word[:2].isascii() else word[:8].decode("utf-8", "replace")[:2].encode()  # two characters
+    return zlib.crc32(head) % CLASSES
+
+
+def _find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in known, which is ascending; whether the key is there) of each key."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return at, known[at] == keys
+
+
+class _Index(dict):
+    """Numbers of words. A new word gets the next number and is listed in `new`."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -72,16 +95,17 @@ class Tree:
     """Leaves: own words by hash, classes, the unseen. Codes as node and bit sequences, and each node's probability of a 1."""
 
     def __init__(self, own: list[tuple[int, int]], masses: dict[int, float]):
-        self.leaf = {h: i for i, (h, _) in enumerate(own)}
+        keys = np.array([h for h, _ in own], np.int64)
+        self.own_leaf = np.argsort(keys)
+        self.own_keys = keys[self.own_leaf]
         self.frequent = min(FREQUENT, len(own))
-        self.class_leaf = {}
+        self.class_leaf, self.masses = np.full(CLASSES, -1), np.ones(CLASSES)
         weights = [n + 0.5 for _, n in own]
         for c in sorted(masses):
-            self.class_leaf[c] = len(weights)
+            self.class_leaf[c], self.masses[c] = len(weights), masses[c]
             weights.append(masses[c])
         self.unseen = len(weights)
         weights.append(0.5)
-        self.masses = masses
         heap = [(w, i, i) for i, w in enumerate(weights)]
         heapq.heapify(heap)
         n, nodes = len(weights), []
@@ -112,47 +136,48 @@ class Reader:
         self._reset()
 
     def _reset(self):
-        self.index: dict[bytes, int] = {}
+        self.index = _Index()
         self.leaf = np.zeros(1 << 12, np.int32)
         self.key = np.zeros(1 << 12, np.uint64)
         self.n = np.zeros(1 << 12, np.int64)
         self.share = np.zeros(1 << 12)
 
     def _learn(self, words: list[bytes], given: dict[int, int] | None):
-        start, tree = len(self.index), self.tree
-        while start + len(words) > len(self.leaf):
+        end, tree = len(self.index), self.tree
+        start = end - len(words)
+        while end > len(self.leaf):
             for name in ("leaf", "key", "n", "share"):
                 x = getattr(self, name)
                 setattr(self, name, np.concatenate([x, np.zeros_like(x)]))
-        keys = np.fromiter(map(_hash, words), np.int64, len(words))
+        keys = (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) >> np.uint64(1)).view(np.int64)
         if given is not None:
             n = np.array([given.get(k, 0) for k in keys.tolist()], np.int64)
         elif self.counts is not None:
-            at = np.minimum(np.searchsorted(self.counts[0], keys), max(0, len(self.counts[0]) - 1))
-            n = np.where(self.counts[0][at] == keys, self.counts[1][at], 0) if len(self.counts[0]) else np.zeros(len(keys), np.int64)
+            at, there = _find(self.counts[0], keys)
+            n = np.zeros(len(keys), np.int64)
+            n[there] = self.counts[1][at[there]]
         else:
             n = np.ones(len(keys), np.int64)
-        for i, (w, k, c) in enumerate(zip(words, keys.tolist(), n.tolist()), start):
-            leaf, share = tree.leaf.get(k, -1), 0.0
-            if leaf < 0:
-                cls = _class(w)
-                if c and cls in tree.class_leaf:
-                    leaf, share = tree.class_leaf[cls], np.log10((c + 0.5) / tree.masses[cls])
-                else:
-                    leaf = tree.unseen
-            self.index[w], self.leaf[i], self.share[i] = i, leaf, share
-        self.key[start : start + len(words)] = keys.astype(np.uint64) * _K[0]
-        self.n[start : start + len(words)] = n
+        at, own = _find(tree.own_keys, keys)
+        leaf, share = np.full(len(keys), tree.unseen), np.zeros(len(keys))
+        leaf[own] = tree.own_leaf[at[own]]
+        rest = np.flatnonzero(~own & (n > 0))
+        classes = np.fromiter((_class(words[i]) for i in rest.tolist()), np.int64, len(rest))
+        within = tree.class_leaf[classes] >= 0
+        rest, classes = rest[within], classes[within]
+        leaf[rest], share[rest] = tree.class_leaf[classes], np.log10((n[rest] + 0.5) / tree.masses[classes])
+        self.leaf[start:end], self.share[start:end], self.n[start:end] = leaf, share, n
+        self.key[start:end] = keys.astype(np.uint64) * _K[0]
 
     def read(self, texts: list[bytes], given: dict[int, int] | None = None):
         words = [[*t.lower().split(), END] for t in texts]
         if len(self.index) > 400_000:
             self._reset()
-        new = set().union(*words).difference(self.index)
-        if new:
-            self._learn(list(new), given)
         sizes = np.array([len(w) for w in words])
-        idx = np.fromiter((i for w in words for i in map(self.index.__getitem__, w)), np.int64, int(sizes.sum()))
+        idx = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        if self.index.new:
+            self._learn(self.index.new, given)
+            self.index.new = []
         return idx, sizes
 
 
