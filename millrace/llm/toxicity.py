@@ -121,10 +121,10 @@ class Lexicon:
 
 
 class Scanner:
-    """Features of texts under a lexicon. Words that were met are remembered, up to a bound."""
+    """Features of texts under a lexicon. At most `memo` words that were met are remembered; features don't depend on it."""
 
-    def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.known = lexicon, {}
+    def __init__(self, lexicon: Lexicon, memo: int = 500_000):
+        self.lexicon, self.memo, self.known = lexicon, memo, {}
 
     def _edits(self, word: str) -> int:
         """0 to 2 edits, or -1. Signs that stand for letters count as an edit."""
@@ -133,24 +133,20 @@ class Scanner:
         if found is None and (plain := bare.translate(SIGNS)) != bare:
             found = self.lexicon.find(plain)
             found = None if found is None else max(1, found)
-        if len(self.known) > 500_000:
+        if len(self.known) >= self.memo:
             self.known.clear()
         self.known[word] = e = -1 if found is None else min(found, 2)
         return e
 
     def features(self, text: str) -> list[float]:
         words = text.lower().split()
-        known = self.known
-        new = set(words).difference(known)
-        for w in new:
+        for w in set(words).difference(self.known):
             self._edits(w)
-        get = known.get
-        marks = [get(w) for w in words]
+        marks = list(map(self.known.get, words))
+        if None in marks:  # the memo was cleared while the words were learned
+            marks = [self._edits(w) if e is None else e for w, e in zip(words, marks)]
         out = [0.0] * FEATURES
-        if max(marks, default=-1) < 0 and None not in marks:
-            return out
-        hits = [(i, e if e is not None else self._edits(words[i])) for i, e in enumerate(marks) if e is None or e >= 0]
-        hits = [(i, e) for i, e in hits if e >= 0]
+        hits = [(i, e) for i, e in enumerate(marks) if e >= 0]
         if not hits:
             return out
         quotes = bool(_QUOTES.search(text))

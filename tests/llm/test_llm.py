@@ -156,6 +156,15 @@ def test_toxicity_automaton_and_fit(spark):
     assert all(r["predicted"] == 0 for r in none)
 
 
+def test_toxicity_features_do_not_depend_on_the_memo():
+    lex = toxicity.Lexicon([("idiot", True), ("worthless", True), ("vequ", False)])
+    texts = ["a idiot b c d idiott e a idiot", 'he said "worthless" x y z vequar', "", "a b c d e f g", " ".join(f"w{i}" for i in range(50)) + " idiot"]
+    wanted = [toxicity.Scanner(lex).features(t) for t in texts]
+    for memo in (1, 2, 3, 5, 7):
+        scanner = toxicity.Scanner(lex, memo)
+        assert [scanner.features(t) for t in texts] == wanted and len(scanner.known) <= memo
+
+
 def test_fingerprints(spark, docs):
     texts = [t or "" for t in odd_texts()]
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs, rows_a_range=20).collect()}
