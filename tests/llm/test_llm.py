@@ -96,6 +96,26 @@ def test_jaccard_components_equal_brute_force(spark, docs):
         assert got == {i: (len(s), top(i)) for i, s in enumerate(sets)}
 
 
+def test_prefixes_of_similar_sets_share_as_many_tokens_as_said():
+    rng = np.random.default_rng(8)
+    for percent in (40, 80, 85):
+        for _ in range(3000):
+            na = int(rng.integers(1, 400))
+            nb = int(rng.integers(max(1, -(-percent * na // 100)), max(2, 100 * na // percent + 1)))
+            both = -(-percent * (na + nb) // (100 + percent))  # the least overlap, the hardest case
+            if both > min(na, nb):
+                continue
+            pool = rng.permutation(np.uint64(1) + np.arange(na + nb - both, dtype=np.uint64))
+            x, y = pool[:na], pool[na - both :]
+            firsts = [s if (k := jaccardjoin.prefix_size(len(s), percent)) >= len(s) else np.sort(jaccardjoin._mix(s, 2))[:k] for s in (x, y)]
+            firsts = [jaccardjoin._mix(s, 2) if len(f) == len(s) else f for s, f in zip((x, y), firsts)]
+            need = jaccardjoin.shared_tokens(na, nb, percent)
+            assert need >= 1 and len(set(firsts[0].tolist()) & set(firsts[1].tolist())) >= need
+            sketches = [set(np.frombuffer(jaccardjoin._sketch(s, jaccardjoin.prefix_size(len(s), percent), 2), "<u2").tolist()) for s in (x, y)]
+            merged = min(jaccardjoin.prefix_size(len(s), percent) - len(z) for s, z in zip((x, y), sketches))
+            assert len(sketches[0] & sketches[1]) >= need - merged
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((60, 16))
