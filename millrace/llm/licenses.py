@@ -1,9 +1,8 @@
-"""License scan: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
+"""License scan: the distinct shingles of each text are looked up among those of all templates and counted by template.
 
-Texts become words of a-z and 0-9, and shingles of five words (a shorter template is one shingle of its length). Windows of
-WINDOW shingles overlap by half, so each shingle lies in two. A band is the least of one hash of a window's shingles: with
-one template shingle among eight, BANDS bands miss a window with probability (7/8) ** 40 < 0.005 and both windows with less
-than 1 in 10,000; longer templates are missed less. All of it is DataFrame functions.
+Texts become words of a-z and 0-9, and shingles of five words (a shorter template is one shingle of its length). A row's
+shingles meet the sent table of template shingles one by one, so containment is exact and no case depends on chance, and
+only shingles that are met are dealt out. All of it is DataFrame functions.
 
 Before that, texts without any anchor word can't hold a shingle of any template and are left out: the anchors are words
 such that every shingle of every template has one of them.
@@ -16,7 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, BANDS, SHINGLE = 8, 40, 5
+SHINGLE = 5
 
 #: Notices that are looked for unless others are given.
 TEMPLATES = {
@@ -63,17 +62,6 @@ def _shingles(text: Column, n: int) -> Column:
     return _let(F.transform(words, lambda w: F.xxhash64(w)), many)
 
 
-def _bands(hashes: Column, step: int) -> Column:
-    """Keys (band and least hash, hashed together) of the windows of WINDOW shingles that begin at every step-th one."""
-
-    def keys(h: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(h) - WINDOW // 2, F.lit(1)), F.lit(step))
-        mixed = lambda k: F.transform(h, lambda x: F.xxhash64(x, k))
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda k: _let(mixed(k), lambda m: F.transform(starts, lambda s: F.xxhash64(k, F.array_min(F.slice(m, s, F.lit(WINDOW))))))))
-
-    return F.when(F.size(hashes) > 0, _let(hashes, keys)).otherwise(F.array().cast("array<bigint>"))
-
-
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8) -> DataFrame:
     """docs (doc_id, text) -> doc_id, license, containment: a row for each template of which the whole text holds at least
     this share of the distinct shingles. Null and empty texts hold none; a repeated row is reported as often as it occurs;
@@ -89,13 +77,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     out = empty
     for n in sorted({min(SHINGLE, len(template_words(t))) for t in templates.values()}):
         some = [(k, t) for k, t in templates.items() if min(SHINGLE, len(template_words(t))) == n]
-        known = spark.createDataFrame(some, "license string, words string").withColumn("shingles", _shingles(F.col("words"), n))
-        keys = known.select("license", F.explode(F.array_distinct(_bands(F.col("shingles"), WINDOW))).alias("key"))
-        here = rows.select("row", "times", _shingles(F.col("text"), n).alias("h"))
-        met = here.select("row", F.explode(F.array_distinct(_bands(F.col("h"), WINDOW // 2))).alias("key")).join(F.broadcast(keys), "key").select("row", "license").distinct()
-        whole = met.join(here, "row").join(F.broadcast(known.select("license", F.array_distinct("shingles").alias("t"))), "license")
-        share = F.size(F.array_intersect("t", "h")) / F.size("t")
-        whole = whole.select(F.col("row.doc_id").alias("doc_id"), "license", share.alias("containment"), "times").where(F.col("containment") >= containment)
+        known = spark.createDataFrame(some, "license string, words string").withColumn("t", F.array_distinct(_shingles(F.col("words"), n)))
+        keys = known.select("license", F.size("t").alias("size"), F.explode("t").alias("key"))
+        here = rows.select("row", "times", F.explode(F.array_distinct(_shingles(F.col("text"), n))).alias("key"))
+        held = here.join(F.broadcast(keys), "key").groupBy("row", "license", "size", "times").agg(F.count("*").alias("held"))
+        whole = held.select(F.col("row.doc_id").alias("doc_id"), "license", (F.col("held") / F.col("size")).alias("containment"), "times").where(F.col("containment") >= containment)
         out = out.unionByName(whole.select("doc_id", "license", "containment", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("i")).drop("i"))
     return out
 

@@ -154,6 +154,22 @@ def test_license_scan_finds_planted_notices(spark):
     assert sorted((r[0], r[1]) for r in found.collect()) == [(0, "MIT"), (3, "Rights-reserved"), (4, "GPL-3.0")]
 
 
+def test_license_scan_finds_every_notice_at_either_end(spark):
+    # One shingle at the end, at the start or inside of texts of all lengths: none may be missed by chance.
+    known = {f"q{k}": f"Held by keeper q{k}." for k in range(60)}
+    body = F.expr("array_join(transform(sequence(1, 3 + id % 11), i -> concat('w', hex(xxhash64(id, i)))), ' ')")
+    notice = F.expr("concat(' Held by keeper q', id % 60, '. ')")
+    place = F.floor(F.col("id") / 60) % 3
+    rows = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(place == 0, F.concat(notice, body)).when(place == 1, F.concat(body, notice)).otherwise(F.concat(body, notice, body)).alias("text"))
+    found = licenses.scan(rows, known)
+    assert found.where("license = concat('q', doc_id % 60)").count() == found.count() == 9000
+    # A long template, of which a text has every fifth shingle broken or pieces far apart.
+    words = [f"t{i}" for i in range(104)]
+    pieces = [" ".join(words[i : i + 44]) + " x" * 30 for i in (0, 40, 60)]
+    found = licenses.scan(frame(spark, ["".join(f" {p}" for p in pieces), " ".join(words[:80])]), {"T": " ".join(words)})
+    assert [(r[0], r[2]) for r in found.collect()] == [(0, 1.0)]
+
+
 def test_toxicity_automaton_and_fit(spark):
     lex = toxicity.Lexicon([("idiot", True), ("worthless", True), ("vequ", False)])
     found = {w: lex.find(w) for w in ("idiot", "idiott", "idot", "idi0t", "jdiot", "worthles", "wrthles", "vequar", "vexu", "idiom", "table", "")}
