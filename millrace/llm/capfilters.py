@@ -4,6 +4,10 @@ The space is rotated at random and cut into blocks; each block has a code of ran
 is one code vector from each block. A vector is list-decoded to all directions whose inner product with it exceeds a
 threshold: partial sums are dropped as soon as the best rest can't lift them over it. Vectors that share a filter are
 compared in double precision, and a pair counts only at the first filter that both share.
+
+Filters get narrower as the table grows, so one code misses more pairs of a large table than of a small one. There are as
+many codes, each with a rotation of its own, as it takes for a pair at the asked cosine to share no filter with a
+probability of at most MISS: the miss rate of one code is taken from random pairs at that cosine, whatever the size.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from .graph import components
 
 #: Vectors that one cell of a filter compares; a filter with more is split into cells for pairs of parts.
 CELL = 1500
+#: Bound of the modelled probability that a pair at the asked cosine shares no filter, and random pairs that model it.
+MISS, TRIALS = 1e-4, 1000
 
 
 class ProductCode:
@@ -66,6 +72,41 @@ class ProductCode:
         return out
 
 
+def pairs_at(d: int, cosine: float, n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """n random pairs of unit vectors of dimension d (2 or more) at this cosine."""
+    rng = np.random.default_rng([seed, d])
+    x, y = rng.standard_normal((2, n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    return x, cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * y
+
+
+def codes_needed(d: int, n: int, cosine: float) -> int:
+    """Codes such that all of them miss a pair at this cosine with a probability of at most MISS."""
+    if d < 2 or n < 2:
+        return 1
+    code, missed, tried = ProductCode(d, n), 0, 0
+    x, y = pairs_at(d, min(cosine, 1.0), TRIALS)
+    for k in range(0, TRIALS, 50):
+        missed += sum(not len(np.intersect1d(a, b, True)) for a, b in zip(code.decode(x[k : k + 50]), code.decode(y[k : k + 50])))
+        tried += 50
+    # A miss and two standard errors more than what was seen, so that chance doesn't flatter the code.
+    rate = min(0.99, (missed + 1 + 2 * np.sqrt(missed + 1)) / tried)
+    return max(1, int(np.ceil(np.log(MISS) / np.log(rate))))
+
+
+class Codes:
+    """`count` product codes with rotations of their own; the filters of the k-th come after those of the ones before."""
+
+    def __init__(self, d: int, n: int, count: int):
+        self.codes = [ProductCode(d, n, seed=20240229 + k) for k in range(count)]
+
+    def decode(self, x: np.ndarray) -> list[np.ndarray]:
+        found = [[ids + k * c.size ** len(c.codes) for ids in c.decode(x)] for k, c in enumerate(self.codes)]
+        return [np.concatenate(lists) for lists in zip(*found)]
+
+
 def _pairs_in(a: np.ndarray, b: np.ndarray | None, limit: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs with an inner product of at least `limit`; b None: within a. Exactly, whatever the order of sums."""
     s = a @ (a if b is None else b).T
@@ -113,7 +154,7 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 
 def _padded(lists: list[bytes], pad: int) -> np.ndarray:
     arrays = [np.frombuffer(x, "<i8") for x in lists]
-    out = np.full((len(arrays), max(map(len, arrays))), pad, np.int64)
+    out = np.full((len(arrays), max(map(len, arrays), default=0)), pad, np.int64)
     for k, x in enumerate(arrays):
         out[k, : len(x)] = x
     return out
@@ -156,10 +197,10 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     classes = rows.where("fine").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = scratch.cut(classes, "classes")
     counts = classes.groupBy("label", F.size("v").alias("d")).agg(F.count("*").alias("n")).groupBy("d").agg(F.max("n").alias("n")).collect()  # a row for each length of vectors
-    most = {r["d"]: r["n"] for r in counts}
+    most = {r["d"]: (r["n"], codes_needed(r["d"], r["n"], cosine)) for r in counts}
 
     def decoded(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, ProductCode] = {}
+        codes: dict[int, Codes] = {}
         for table in tables:
             rep, w, label, vs = (table.column(k) for k in range(4))
             by: dict[int, list[int]] = {}
@@ -169,7 +210,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
             order, vec, lists = [], [], []
             for d, at in by.items():
                 if d not in codes:
-                    codes[d] = ProductCode(d, most[d])
+                    codes[d] = Codes(d, *most[d])
                 x = np.array([vs[k] for k in at])
                 x = x / np.abs(x).max(1, keepdims=True)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -181,13 +222,14 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
 
     coded = classes.select("rep", "w", "label", "v").mapInArrow(decoded, "rep long, w long, label string, d int, vec binary, list binary, filters array<long>")
     coded = scratch.cut(coded, "coded")
-    posts = coded.select("rep", "label", "d", F.explode("filters").alias("f"))
+    posts = coded.select("rep", "label", "d", F.posexplode("filters").alias("at", "f"))
     busy = posts.groupBy("label", "d", "f").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / CELL).cast("int"))
     met = posts.join(busy, ["label", "d", "f"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # A member of part p is in cell (p, p), and on either side of the cells that pair p with another part.
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("rep", F.concat_ws("|", "label", "d", "f", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), "f", (F.col("part") > F.col("other")).cast("int").alias("side"))
-    full = met.join(coded.select("rep", "w", "vec", "list"), "rep").repartition("cell").sortWithinPartitions("cell")
+    met = met.select("rep", "at", F.concat_ws("|", "label", "d", "f", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), "f", (F.col("part") > F.col("other")).cast("int").alias("side"))
+    # Of a row's filters, those below this one are asked for: 8 bytes each.
+    full = met.join(coded.select("rep", "w", "vec", "list"), "rep").withColumn("list", F.substring("list", F.lit(1), 8 * F.col("at"))).repartition("cell").sortWithinPartitions("cell")
 
     def linked(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

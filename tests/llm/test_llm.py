@@ -131,6 +131,16 @@ def test_vectors_equal_brute_force(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(200, 206))
 
 
+def test_pairs_share_a_filter_whatever_the_size_of_the_table():
+    x, y = capfilters.pairs_at(64, 0.931, 1000, seed=11)
+    for n in (10_000, 300_000, 3_000_000):
+        codes = capfilters.Codes(64, n, capfilters.codes_needed(64, n, 0.93))
+        missed = sum(not set(a.tolist()) & set(b.tolist()) for a, b in zip(codes.decode(x), codes.decode(y)))
+        alone = capfilters.Codes(64, n, 1)
+        before = sum(not set(a.tolist()) & set(b.tolist()) for a, b in zip(alone.decode(x), alone.decode(y)))
+        assert missed <= 1 < before, (n, missed, before)
+
+
 def test_shards_are_even_and_keep_copies(spark, docs):
     rows = shards.shard_documents(docs, 4).collect()
     assert len(rows) == len(odd_texts())
