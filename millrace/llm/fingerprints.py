@@ -1,7 +1,8 @@
 """Document fingerprints by one-permutation MinHash with optimal densification and packed low-order bits.
 
 Each word shingle is hashed once. The top bits of the hash name a bin and the least hash of a bin is its value. An empty
-bin takes the value of a bin that a hash of (bin, attempt) names, over and over until one isn't empty. Of each value the
+bin takes the value of a bin that a hash of (bin, attempt) names, over and over until one isn't empty; after ATTEMPTS of
+them it goes on through all bins in the order of a hash of (bin, other bin), so it always ends at a full one. Of each value the
 low bits are kept, as hexadecimal digits in the order of the bins. All of it is DataFrame functions on arrays, so a text
 is fingerprinted where it is read.
 """
@@ -16,7 +17,7 @@ from .common import SPACE
 
 #: Bins, and bits kept of each: one hexadecimal digit.
 BINS, BITS = 256, 4
-#: Attempts before an empty bin takes the least value of all; with a share q of bins empty, one in q ** ATTEMPTS gets there.
+#: Attempts before an empty bin goes through all bins in a hashed order; with a share q of bins empty, one in q ** ATTEMPTS gets there.
 ATTEMPTS = 24
 
 
@@ -53,12 +54,18 @@ def bins(hashes: Column) -> Column:
     def valued(h: Column) -> Column:
         return F.transform(least(h), lambda v: F.when(v.bitwiseAND(F.lit(mark)) != mark, v))
 
+    def full(d: Column) -> Column:
+        return F.filter(F.transform(d, lambda v, b: F.struct(b.alias("b"), v.alias("v"))), lambda x: x["v"].isNotNull())
+
     def filled(d: Column) -> Column:
         def probe(b: Column) -> Column:
             tries = F.sequence(F.lit(1), F.lit(ATTEMPTS))
             return F.aggregate(tries, F.lit(None).cast("long"), lambda got, a: F.coalesce(got, F.get(d, F.pmod(F.xxhash64(b, a), F.lit(BINS)).cast("int"))))
 
-        return F.transform(d, lambda v, b: F.coalesce(v, probe(b), F.array_min(d)))
+        def walk(b: Column, known: Column) -> Column:
+            return F.array_min(F.transform(known, lambda x: F.struct(F.xxhash64(b, F.lit("walk"), x["b"]).alias("h"), x["v"].alias("v"))))["v"]
+
+        return _let(full(d), lambda known: F.transform(d, lambda v, b: F.coalesce(v, probe(b), walk(b, known))))
 
     return _let(_let(F.sort_array(F.concat(hashes, ends)), valued), filled)
 

@@ -229,6 +229,19 @@ def test_fingerprints(spark, docs):
     assert got[0]["fingerprint"] == got[55]["fingerprint"]
 
 
+def test_fingerprints_of_short_texts_estimate_as_well_as_those_of_long_ones(spark):
+    # Sets of k hashes that share half of all: the share of equal values of 256 bins.
+    rng = np.random.default_rng(6)
+    for k, most in ((6, 0.1), (12, 0.08), (60, 0.06)):
+        sets = rng.integers(-(1 << 63), 1 << 63, (100, 4 * k // 3), np.int64)
+        pairs = spark.createDataFrame([(x[:k].tolist(), x[k // 3 :].tolist()) for x in sets], "a array<long>, b array<long>")
+        got = np.array(pairs.select(fingerprints.bins(F.col("a")), fingerprints.bins(F.col("b"))).collect())
+        assert got.shape == (100, 2, fingerprints.BINS)
+        assert np.sqrt(np.mean(((got[:, 0] == got[:, 1]).mean(1) - 0.5) ** 2)) < most, k
+    one = spark.createDataFrame([([5],)], "a array<long>").select(fingerprints.bins(F.col("a"))).first()[0]
+    assert one == [5] * fingerprints.BINS
+
+
 def test_scores_and_base(spark, docs):
     texts = [t or "" for t in odd_texts()]
     toks = [[*t.encode().lower().split(), b"\n"] for t in texts]
