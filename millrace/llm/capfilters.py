@@ -2,8 +2,9 @@
 
 The space is rotated at random and cut into blocks; each block has a code of random unit vectors, and a filter direction
 is one code vector from each block. A vector is list-decoded to all directions whose inner product with it exceeds a
-threshold: partial sums are dropped as soon as the best rest can't lift them over it. Vectors that share a filter are
-compared in double precision, and a pair counts only at the first filter that both share.
+threshold: partial sums are dropped as soon as the best rest can't lift them over it. Vectors that share a filter meet
+there first with the signs of projections, 32 bytes each; those that may have a partner there bring their numbers and are
+compared in double precision. A pair counts only at the first filter that both share.
 
 Filters get narrower as the table grows, so one code misses more pairs of a large table than of a small one. There are as
 many codes, each with a rotation of its own, as it takes for a pair at the asked cosine to share no filter with a
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cells import numbered, row_pairs, whole_cells
 from .common import Scratch
 from .graph import components
 
@@ -27,6 +29,8 @@ from .graph import components
 CELL = 1500
 #: Bound of the modelled probability that a pair at the asked cosine shares no filter, and random pairs that model it.
 MISS, TRIALS = 1e-4, 1000
+#: Random directions whose signs are a vector's sketch, and the normal deviate that a pair's unequal signs may reach.
+SIGNS, DEVIATE = 256, 6.5
 
 
 class ProductCode:
@@ -123,15 +127,21 @@ def _pairs_in(a: np.ndarray, b: np.ndarray | None, limit: float) -> tuple[np.nda
     return i, j
 
 
-def _first_common(la: np.ndarray, lb: np.ndarray, f: int) -> np.ndarray:
-    """Whether no filter below f is in both rows; rows are padded with -1 in la and -2 in lb."""
-    ok = np.ones(len(la), bool)
-    for c in range(la.shape[1]):
-        v = la[:, c]
-        live = (v >= 0) & (v < f) & ok
-        if live.any():
-            ok[live] &= ~(lb[live] == v[live, None]).any(1)
-    return ok
+def _share_lower(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which rows of a cell share any of their lists' filters. Row k has flat[ends[k - 1]:ends[k]]."""
+    m = len(ends)
+    row = np.repeat(np.arange(m), np.diff(ends, prepend=0))
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.cumsum(count > 1) - 1  # filters of one row alone don't matter
+    twice = count[column] > 1
+    row, column, width = row[twice], order[column[twice]], int((count > 1).sum())
+    shared = np.zeros((m, m), bool)
+    for at in range(0, width, 4096):
+        some = (column >= at) & (column < at + 4096)
+        table = np.zeros((m, min(4096, width - at)), np.float32)
+        table[row[some], column[some] - at] = 1
+        shared |= table @ table.T > 0.5
+    return shared
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
@@ -152,33 +162,49 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _padded(lists: list[bytes], pad: int) -> np.ndarray:
-    arrays = [np.frombuffer(x, "<i8") for x in lists]
-    out = np.full((len(arrays), max(map(len, arrays), default=0)), pad, np.int64)
-    for k, x in enumerate(arrays):
-        out[k, : len(x)] = x
-    return out
+def unequal_signs(cosine: float) -> int:
+    """Unequal signs of a pair at this cosine, at most: more have a probability of less than 1 in 10 ** 9."""
+    p = float(np.arccos(np.clip(cosine, -1.0, 1.0))) / np.pi
+    return int(np.ceil(SIGNS * p + DEVIATE * np.sqrt(SIGNS * p * (1 - p)) + 1))
+
+
+def _sketches(x: np.ndarray) -> list[bytes]:
+    directions = np.random.default_rng([31, x.shape[1]]).standard_normal((x.shape[1], SIGNS))
+    return [r.tobytes() for r in np.packbits(x @ directions > 0, axis=1)]
+
 
+def _exact(v: list[float]) -> bytes:
+    """A vector's numbers: 4 bytes each if that loses nothing, else 8."""
+    x = np.array(v, "<f8")
+    with np.errstate(over="ignore"):
+        short = x.astype("<f4")
+    return short.tobytes() if (short.astype("<f8") == x).all() else x.tobytes()
 
-def _cell_links(rep, vec, lists, weight, side, f: int, limit: float):
-    """Links of one cell: (rep, partner weight) sums and a spanning forest."""
-    x = np.stack([np.frombuffer(v, "<f8") for v in vec])
-    one = np.array(side) == 0
+
+def _units(vec: list[bytes], d: int) -> np.ndarray:
+    """Unit vectors in double precision."""
+    x = np.stack([np.frombuffer(v, "<f4" if len(v) == 4 * d else "<f8").astype(np.float64) for v in vec])
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _cell_links(node: np.ndarray, x: np.ndarray, flat: np.ndarray, ends: np.ndarray, weight: np.ndarray, one: np.ndarray, limit: float) -> list[tuple[int, int | None, int]]:
+    """Links of one cell: (node, None, weight of its partners) and (node, node, 0) of a spanning forest. one: rows of the
+    first side. A pair counts if the lists of lower filters, flat and ends, have nothing in common."""
     if one.all():
-        left = right = np.arange(len(rep))
+        left = right = np.arange(len(node))
         i, j = _pairs_in(x, None, limit)
     else:
         left, right = np.flatnonzero(one), np.flatnonzero(~one)
-        i, j = _pairs_in(x[left], x[right], limit) if len(left) and len(right) else (np.zeros(0, int), np.zeros(0, int))
+        i, j = _pairs_in(x[left], x[right], limit) if len(left) else (np.zeros(0, int), np.zeros(0, int))
     i, j = left[i], right[j]
     if not len(i):
-        return [], []
-    la, lb = _padded(lists, -1), _padded(lists, -2)
-    keep = np.concatenate([_first_common(la[i[k : k + 200_000]], lb[j[k : k + 200_000]], f) for k in range(0, len(i), 200_000)])
-    forest = _forest(len(rep), i, j)
-    i, j, w = i[keep], j[keep], np.array(weight, np.float64)
-    sums = np.bincount(i, w[j], len(rep)) + np.bincount(j, w[i], len(rep))
-    return [(rep[k], None, int(sums[k])) for k in np.flatnonzero(sums)], [(rep[a], rep[b], 0) for a, b in forest]
+        return []
+    keep = ~_share_lower(flat, ends)[i, j]
+    # A pair that counts in a lower filter is joined there.
+    i, j = i[keep], j[keep]
+    sums = np.bincount(i, weight[j], len(node)) + np.bincount(j, weight[i], len(node))
+    return [(int(node[k]), None, int(sums[k])) for k in np.flatnonzero(sums)] + [(int(node[a]), int(node[b]), 0) for a, b in _forest(len(node), i, j)]
 
 
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93) -> DataFrame:
@@ -187,80 +213,97 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     Rows with equal labels, not null, and vectors of one length are compared. Null, empty or zero vectors, and those with
     null or non-finite components, link with nothing, nor do rows with a null id; such a row is its own component and is
     kept (a null id: component null, kept false). Rows with equal vectors are found by hash and compared once; a row's
-    links count all other rows. Rows that repeat an id share its component.
+    links count all other rows. Each row is a vector of its own: rows that repeat an id are linked by their vectors alone.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "caps")
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.col("label").isNotNull() & F.col("id").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = v.withColumn("fine", fine).withColumn("h1", F.when(F.col("fine"), F.xxhash64("label", "v"))).withColumn("h2", F.when(F.col("fine"), F.xxhash64(F.lit(7), "v", "label")))
-    classes = rows.where("fine").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.first("label").alias("label"), F.first("v").alias("v"))
-    classes = scratch.cut(classes, "classes")
+    classes = rows.where("fine").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("w"), F.first("label").alias("label"), F.first("v").alias("v"))
+    # Nodes are numbered in the written table, so that a row made once more keeps its number.
+    classes = scratch.cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     counts = classes.groupBy("label", F.size("v").alias("d")).agg(F.count("*").alias("n")).groupBy("d").agg(F.max("n").alias("n")).collect()  # a row for each length of vectors
     most = {r["d"]: (r["n"], codes_needed(r["d"], r["n"], cosine)) for r in counts}
 
     def decoded(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, Codes] = {}
         for table in tables:
-            rep, w, label, vs = (table.column(k) for k in range(4))
+            node, w, kind, vs = (table.column(k) for k in range(4))
             by: dict[int, list[int]] = {}
             vs = vs.to_pylist()
             for k, x in enumerate(vs):
                 by.setdefault(len(x), []).append(k)
-            order, vec, lists = [], [], []
+            order, vec, sketches, lists = [], [], [], []
             for d, at in by.items():
                 if d not in codes:
                     codes[d] = Codes(d, *most[d])
-                x = np.array([vs[k] for k in at])
-                x = x / np.abs(x).max(1, keepdims=True)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                raw = [_exact(vs[k]) for k in at]
+                x = _units(raw, d)
                 order += at
-                vec += [r.tobytes() for r in x]
+                vec += raw
+                sketches += _sketches(x)
                 lists += codes[d].decode(x)
             take = pa.array(order, pa.int64())
-            yield pa.RecordBatch.from_arrays([rep.take(take), w.take(take), label.take(take), pa.array([len(vs[k]) for k in order], pa.int32()), pa.array(vec, pa.binary()), pa.array([x.tobytes() for x in lists], pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["rep", "w", "label", "d", "vec", "list", "filters"])
+            columns = [node.take(take), w.take(take), kind.take(take), pa.array([len(vs[k]) for k in order], pa.int32()), pa.array(vec, pa.binary()), pa.array(sketches, pa.binary()), pa.array(lists, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "w", "kind", "d", "vec", "sketch", "filters"])
 
-    coded = classes.select("rep", "w", "label", "v").mapInArrow(decoded, "rep long, w long, label string, d int, vec binary, list binary, filters array<long>")
+    # kind stands for the label and the length: only rows of one kind meet.
+    coded = classes.select("node", "w", F.xxhash64("label", F.size("v")).alias("kind"), "v").mapInArrow(decoded, "node long, w long, kind long, d int, vec binary, sketch binary, filters array<long>")
     coded = scratch.cut(coded, "coded")
-    posts = coded.select("rep", "label", "d", F.posexplode("filters").alias("at", "f"))
-    busy = posts.groupBy("label", "d", "f").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / CELL).cast("int"))
-    met = posts.join(busy, ["label", "d", "f"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    # A member of part p is in cell (p, p), and on either side of the cells that pair p with another part.
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("rep", "at", F.concat_ws("|", "label", "d", "f", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), "f", (F.col("part") > F.col("other")).cast("int").alias("side"))
-    # Of a row's filters, those below this one are asked for: 8 bytes each.
-    full = met.join(coded.select("rep", "w", "vec", "list"), "rep").withColumn("list", F.substring("list", F.lit(1), 8 * F.col("at"))).repartition("cell").sortWithinPartitions("cell")
+    posts = coded.select("node", "kind", F.explode("filters").alias("f"))
+    busy = scratch.cut(posts.groupBy("kind", "f").agg(F.count("*").alias("n")).where("n > 1").select("kind", "f", F.ceil(F.col("n") / CELL).cast("int").alias("parts")), "busy")
+    met = scratch.cut(posts.join(busy, ["kind", "f"]), "met")
+    scratch.sweep()
+    # A member of a part is in the cell of that part, and on either side of the cells that pair it with another part.
+    cells = met.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("mine") == F.col("with"), 0).when(F.col("mine") < F.col("with"), 1).otherwise(2)
+    cells = cells.select("kind", "f", F.least("mine", "with").alias("part"), F.greatest("mine", "with").alias("other"), side.alias("side"), "node")
+    most_unequal = unequal_signs(cosine)
+    key = ["kind", "f", "part", "other"]
+
+    def flagged(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_cells(tables, 4):
+            side = rows.column(4).to_numpy()
+            bits = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+            hit = np.zeros(rows.num_rows, bool)
+            for x, y in row_pairs(numbered(rows, 4)):
+                ok = (side[x] != side[y]) | (side[x] == 0)
+                x, y = x[ok], y[ok]
+                ok = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= most_unequal
+                hit[x[ok]] = hit[y[ok]] = True
+            yield from rows.drop_columns(["sketch"]).filter(pa.array(hit)).to_batches()
+
+    near = cells.join(coded.select("node", "sketch"), "node").select(*key, "side", "node", "sketch").repartition(*key).sortWithinPartitions(*key)
+    near = scratch.cut(near.mapInArrow(flagged, "kind long, f long, part int, other int, side int, node long"), "near")
+    scratch.drop(met)
+    scratch.sweep()
+    # Of a row's filters, those below the cell's are asked for, in 4 bytes each if all fit.
+    width = 4 if all(count * c.size ** len(c.codes) < 1 << 31 for c, count in ((ProductCode(d, n), count) for d, (n, count) in most.items())) else 8
+    below = F.filter("filters", lambda g: g < F.col("f"))
+    full = near.join(coded.select("node", "w", "d", "vec", "filters"), "node").select(*key, "side", "node", "w", "d", "vec", (below.cast("array<int>") if width == 4 else below).alias("below"))
 
     def linked(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for table in tables:
-            held += zip(*(table.column(k).to_pylist() for k in range(7)))
-            out = []
-            start = 0
-            for k in range(1, len(held)):
-                if held[k][0] != held[start][0]:
-                    out.append(held[start:k])
-                    start = k
-            held = held[start:]
-            yield emit(out)
-        yield emit([held] if held else [])
-
-    def emit(cells: list[list[tuple]]) -> pa.RecordBatch:
-        rows_ = []
-        for c in cells:
-            if len(c) > 1:
-                _, f, side, rep, w, vec, lists = zip(*c)
-                sums, forest = _cell_links(rep, vec, lists, w, side, f[0], cosine)
-                rows_ += sums + forest
-        columns = list(zip(*rows_)) or [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n"])
-
-    links = full.select("cell", "f", "side", "rep", "w", "vec", "list").mapInArrow(linked, "a long, b long, n long")
-    links = scratch.cut(links, "links")
-    degree = links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    found = components(links.where("b is not null").select("a", "b"), scratch)
-    about = classes.select("h1", "h2", "rep", "w").join(degree, "rep", "left").join(found, F.col("rep") == F.col("node"), "left")
-    about = about.select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("w") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.select("id", "h1", "h2").join(about, ["h1", "h2"], "left")
+        for rows in whole_cells(tables, 4):
+            starts = np.flatnonzero(np.diff(numbered(rows, 4), prepend=-1))
+            side, node, d = (rows.column(k).to_numpy() for k in (4, 5, 7))
+            weight, vec, lists = rows.column(6).to_numpy().astype(np.float64), rows.column(8).to_pylist(), rows.column(9).combine_chunks()
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy())
+            out: list[tuple[int, int | None, int]] = []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows]):
+                if b - a > 1:
+                    low = ends[a - 1] if a else 0
+                    out += _cell_links(node[a:b], _units(vec[a:b], int(d[a])), flat[low : ends[b - 1]], ends[a:b] - low, weight[a:b], side[a:b] < 2, cosine)
+            columns = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n"])
+
+    links = scratch.cut(full.repartition(*key).sortWithinPartitions(*key).mapInArrow(linked, "a long, b long, n long"), "links")
+    scratch.drop(near, coded)
+    degree = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    found = components(links.where("b is not null").select("a", "b"), scratch).withColumnRenamed("node", "of")
+    about = classes.select("h1", "h2", "node", "w", "least").join(degree, "node", "left").join(found, F.col("node") == F.col("of"), "left")
+    about = scratch.cut(about.select("h1", "h2", "least", (F.coalesce("others", F.lit(0)) + F.col("w") - 1).alias("links"), F.coalesce("component", "node").alias("group")), "about")
+    firsts = about.groupBy("group").agg(F.min("least").alias("component"))
+    out = rows.select("id", "h1", "h2").join(about.join(firsts, "group").select("h1", "h2", "links", "component"), ["h1", "h2"], "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
