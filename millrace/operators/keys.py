@@ -28,16 +28,30 @@ def classify_against(new: DataFrame, target: DataFrame, key: str, payload: str)
     return joined.withColumn("status", F.when(F.col("__k").isNull(), "NEW").when(F.col("__p") == F.col(payload), "DUPLICATE").otherwise("CONFLICT")).drop("__k", "__p")
 
 
-def insert_absent(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Target and the rows of new whose keys it lacks; running it again changes nothing."""
-    return target.unionByName(new.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti"))
+def _lacking(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys others lack; null keys are equal to null keys."""
+    known = others.select([F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    return rows.join(known, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left_anti")
 
 
-def upsert(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of new replace those of target with equal keys (null keys are equal), all others stay."""
-    fresh = new.select([F.col(k).alias(f"__{k}") for k in keys]).distinct()
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    return target.join(fresh, same, "left_anti").unionByName(new)
+def insert_absent(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Target and the rows of new whose keys it lacks, one a key; null keys are equal. Running it again changes nothing."""
+    return target.unionByName(_lacking(new.dropDuplicates(keys), target, keys))
+
+
+def upsert(target: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Rows of new replace those of target with equal keys (null keys are equal), all others stay.
+
+    A key that `new` repeats has its greatest row in `order`; without an order it is an error that the query raises when it
+    runs, since no row of several can be told to win.
+    """
+    if order is not None:
+        fresh = latest_by(new, keys, order).select(*new.columns)
+    else:
+        once = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
+        checked = F.when(F.col("__n") == 1, True).otherwise(F.raise_error(F.lit("upsert: a key is repeated in the new rows")).cast("boolean"))
+        fresh = new.withColumn("__n", once).where(checked).drop("__n")
+    return _lacking(target, new, keys).unionByName(fresh)
 
 
 def overwrite_partitions(df: DataFrame, path: str, partitions: list[str]) -> None:

@@ -7,11 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def by_score(df: DataFrame, score: str, label: str) -> DataFrame:
-    """One row a distinct score: positives, negatives, and both cumulated from the highest score down."""
+def by_score(df: DataFrame, score: str, label: str, parts: int = 256) -> DataFrame:
+    """One row a distinct score: positives, negatives, and both cumulated from the highest score down.
+
+    The sums go in two levels: within ranges of scores of about equal width, which tasks sort on their own, and over the
+    ranges' totals, of which there are at most `parts`.
+    """
     counts = df.groupBy(score).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
+    ends = counts.agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
+    at = F.when(F.col("__hi") > F.col("__lo"), F.least(F.lit(parts - 1), F.floor((F.col(score) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * parts))).otherwise(0).cast("int")
+    dealt = counts.crossJoin(F.broadcast(ends)).withColumn("__part", at).drop("__lo", "__hi")
+    higher = Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)  # over at most `parts` rows
+    before = dealt.groupBy("__part").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
+    before = before.select(F.col("__part").alias("__q"), F.coalesce(F.sum("__p").over(higher), F.lit(0)).alias("__tp"), F.coalesce(F.sum("__n").over(higher), F.lit(0)).alias("__fp"))
+    down = Window.partitionBy("__part").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down)).join(F.broadcast(before), F.col("__part").eqNullSafe(F.col("__q")))
+    return summed.select(score, "pos", "neg", (F.col("tp") + F.col("__tp")).alias("tp"), (F.col("fp") + F.col("__fp")).alias("fp"))
 
 
 def metric_bundle(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -25,7 +36,7 @@ def metric_bundle(df: DataFrame, score: str, label: str) -> DataFrame:
 def threshold_for_recall(df: DataFrame, score: str, label: str, recall: float) -> DataFrame:
     """The threshold with the best precision among those with the recall; the highest such threshold of equals."""
     curve = by_score(df.select(F.col(score).alias("s"), F.col(label).cast("long").alias("y")), "s", "y")
-    total = curve.withColumn("p", F.sum("pos").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    total = curve.crossJoin(F.broadcast(curve.agg(F.sum("pos").alias("p"))))
     fit = total.where(F.col("tp") >= recall * F.col("p")).select(F.col("s").alias("threshold"), (F.col("tp") / F.col("p")).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
     return fit.orderBy(F.desc("precision"), F.desc("threshold")).limit(1)
 
@@ -53,9 +64,31 @@ def chronological_split(df: DataFrame, at: str, train: float = 0.7, valid: float
 
 
 def balanced_sample(df: DataFrame, label: str, ratio: int, most: int, *key: str) -> DataFrame:
-    """At most `most` rows with at most `ratio` negatives a positive, chosen by a hash of the key."""
-    order = Window.partitionBy(label).orderBy(F.sha2(F.concat_ws("|", *key), 256))
-    ranked = df.withColumn("__r", F.row_number().over(order))
+    """At most `most` rows with at most `ratio` negatives a positive, chosen by a hash of the key. The limits are the
+    sample; each task keeps its first rows, so no label is sorted in one task."""
+    order = F.sha2(F.concat_ws("|", *key), 256)
     cap = most // (ratio + 1)
-    count = df.where(F.col(label) == 1).agg(F.least(F.count("*"), F.lit(cap)).alias("__p"))
-    return ranked.crossJoin(F.broadcast(count)).where(F.when(F.col(label) == 1, F.col("__r") <= cap).otherwise(F.col("__r") <= F.least(ratio * F.col("__p"), most - F.col("__p")))).drop("__r", "__p")
+    positives = df.where(F.col(label) == 1).orderBy(order).limit(cap)
+    n = positives.count()
+    return positives.unionByName(df.where(F.col(label) == 0).orderBy(order).limit(min(ratio * n, most - n)))
+
+
+def psi_with_nan(baseline: DataFrame, recent: DataFrame, value: str, bins: int = 10) -> DataFrame:
+    """As psi, but NaN where either side has no value."""
+    some = baseline.agg(F.count(value).alias("__a")).crossJoin(F.broadcast(recent.agg(F.count(value).alias("__b"))))
+    found = psi(baseline, recent, value, bins).crossJoin(F.broadcast(some))
+    return found.select(F.when((F.col("__a") > 0) & (F.col("__b") > 0), F.col("psi")).otherwise(F.lit(float("nan"))).alias("psi"))
+
+
+def prediction_outcomes(predictions: DataFrame, labels: DataFrame) -> DataFrame:
+    """Predictions with the valid label of their feature."""
+    return predictions.join(labels.where("label_valid").select("feature_id", "label_failure"), "feature_id")
+
+
+def gates(metrics: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:
+    """A row a metric of a one-row table: metric, value, threshold, status. limits: metric -> ("min" or "max", threshold);
+    an unknown or NaN value is UNKNOWN."""
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(float(t)).alias("threshold"), F.lit(kind).alias("kind")) for m, (kind, t) in limits.items()])
+    out = metrics.select(F.explode(rows).alias("r")).select("r.*")
+    ok = F.when(F.col("kind") == "min", F.col("value") >= F.col("threshold")).otherwise(F.col("value") <= F.col("threshold"))
+    return out.select("metric", "value", "threshold", F.when(F.col("value").isNull() | F.isnan("value"), "UNKNOWN").when(ok, "PASS").otherwise("BREACH").alias("status"))

@@ -93,11 +93,3 @@ def greedy_cooldown(df: DataFrame, key: str, at: str, tie: str, cooldown: int) -
 
     rows = df.select(key, at, tie)
     return rows.repartition(key).sortWithinPartitions(key, at, tie).mapInPandas(scan, rows.schema)
-
-
-def date_dimension(spark, first: str, last: str) -> DataFrame:
-    days = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).alias("d"))
-    return days.select(
-        F.date_format("d", "yyyyMMdd").cast("int").alias("date_sk"), F.year("d").alias("year_no"), F.quarter("d").alias("quarter_no"), F.month("d").alias("month_no"), F.dayofmonth("d").alias("day_no"),
-        F.weekofyear("d").alias("iso_week"), (F.weekday("d") + 1).alias("iso_weekday"), (F.weekday("d") >= 5).alias("is_weekend"), F.when(F.month("d") >= 4, F.year("d")).otherwise(F.year("d") - 1).alias("fiscal_year"),
-    )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.columns import all_matches, band, clamp, first_match, hash_id, json_field, micros, points, predicate, safe_div, uuid5
-from millrace.operators import keys, learning, retrieval, semantic, temporal
+from millrace.operators import keys, learning, realtime, retrieval, semantic, temporal
 from millrace.operators.temporal import DAY, HOUR, MINUTE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,25 +65,21 @@ def latest_telemetry_per_key(spark, sf):
     return latest_views(events(spark, sf)).select("user_id", "us", "event_id", "value", "k")
 
 
-INCIDENTS = f"inc AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS alarms, count(*) FILTER (event_type = 'error') AS faults, count(*) FILTER (event_type = 'signup') AS losses FROM e, now WHERE us >= t - {HOT} AND event_type IN ('click', 'error', 'signup') GROUP BY user_id)"
-
-
-def recent_incidents(e: DataFrame) -> DataFrame:
-    found = as_of(e, e.where(F.col("event_type").isin("click", "error", "signup")), HOT)
-    return found.groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("alarms"), F.count_if(F.col("event_type") == "error").alias("faults"), F.count_if(F.col("event_type") == "signup").alias("losses"))
+CRITICAL = "event_type IN ('click', 'error', 'signup') AND (value >= 50 OR event_type IN ('error', 'signup'))"
+INCIDENTS = f"inc AS (SELECT user_id, count(*) AS incidents, count(*) FILTER (event_type = 'error') AS faults, count(*) FILTER (event_type = 'signup') AS losses FROM e, now WHERE us >= t - {HOT} AND {CRITICAL} GROUP BY user_id)"
 
 
 @query(f"""WITH {E}, {LATEST}, {INCIDENTS}, s AS (SELECT l.user_id, least(100, CASE WHEN l.k >= 90 THEN 40 WHEN l.k >= 80 THEN 20 WHEN l.k >= 70 THEN 10 ELSE 0 END
 + CASE WHEN l.k / 10.0 >= 8 THEN 40 WHEN l.k / 10.0 >= 6 THEN 20 WHEN l.k / 10.0 >= 4 THEN 10 ELSE 0 END
-+ least(20, 5 * coalesce(alarms, 0)) + least(30, 15 * coalesce(faults, 0)) + least(10, 5 * coalesce(losses, 0))) AS risk_score FROM latest l LEFT JOIN inc USING (user_id))
++ least(20, 5 * coalesce(incidents, 0)) + least(30, 15 * coalesce(faults, 0)) + least(10, 5 * coalesce(losses, 0))) AS risk_score FROM latest l LEFT JOIN inc USING (user_id))
 SELECT user_id, CAST(risk_score AS BIGINT) AS risk_score, CASE WHEN risk_score >= 80 THEN 'CRITICAL' WHEN risk_score >= 60 THEN 'HIGH' WHEN risk_score >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS risk_band FROM s""")
 def rt_machine_risk(spark, sf):
+    """Every critical incident counts; faults and losses count once more by kind."""
     e = events(spark, sf)
-    rows = latest_views(e).join(recent_incidents(e), "user_id", "left").fillna(0, ["alarms", "faults", "losses"])
-    heat = points(F.col("k"), [(90, 40), (80, 20), (70, 10)]) + points(F.col("k") / 10, [(8, 40), (6, 20), (4, 10)])
-    counts = F.least(F.lit(20), 5 * F.col("alarms")) + F.least(F.lit(30), 15 * F.col("faults")) + F.least(F.lit(10), 5 * F.col("losses"))
-    score = F.least(F.lit(100), heat + counts).cast("long")
-    return rows.select("user_id", score.alias("risk_score"), band(score, [(80, "CRITICAL"), (60, "HIGH"), (30, "MEDIUM")], "LOW").alias("risk_band"))
+    recent = as_of(e, e.where(CRITICAL), HOT).groupBy("user_id").agg(F.count("*").alias("critical_incident_count"), F.count_if(F.col("event_type") == "error").alias("fault_count"), F.count_if(F.col("event_type") == "signup").alias("communication_loss_count"))
+    rows = latest_views(e).join(recent, "user_id", "left").fillna(0, list(realtime.INCIDENTS))
+    score = realtime.risk_score(F.col("k"), F.col("k") / 10, {n: F.col(n) for n in realtime.INCIDENTS}).cast("long")
+    return rows.select("user_id", score.alias("risk_score"), band(score, realtime.BANDS, "LOW").alias("risk_band"))
 
 
 @query(f"WITH {E} SELECT event_id, user_id, event_type, us, value FROM e, now WHERE us >= t - {HOT} AND event_type IN ('click', 'error', 'signup') AND (value >= 50 OR event_type = 'error')")
@@ -105,13 +101,13 @@ def rt_production_losses(spark, sf):
     return lost.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("loss_quantity"), F.when(F.col("l_linestatus") == "F", "SCRAP").otherwise("QUALITY").alias("loss_category")).orderBy(F.desc("loss_quantity"))
 
 
-@query(f"""WITH {E}, p AS (SELECT user_id % 7 AS plant, count(*) AS units, count(*) FILTER (k < 90) AS good FROM e WHERE event_type = 'purchase' AND user_id % 7 <> 3 GROUP BY 1),
-i AS (SELECT user_id % 7 AS plant, count(*) AS incidents FROM e WHERE event_type = 'error' AND user_id % 7 <> 5 GROUP BY 1)
+@query(f"""WITH {E}, p AS (SELECT user_id % 7 AS plant, count(*) AS units, count(*) FILTER (k < 90) AS good FROM e WHERE event_type = 'purchase' GROUP BY 1),
+i AS (SELECT user_id % 7 AS plant, count(*) AS incidents FROM e WHERE event_type = 'error' GROUP BY 1)
 SELECT coalesce(p.plant, i.plant) AS plant, coalesce(units, 0) AS units, coalesce(incidents, 0) AS incidents, round(100.0 * good / units, 6) AS quality_pct FROM p FULL JOIN i ON p.plant = i.plant""")
 def plant_realtime_kpi(spark, sf):
     e = events(spark, sf).withColumn("plant", F.col("user_id") % 7)
-    made = e.where("event_type = 'purchase' and plant != 3").groupBy("plant").agg(F.count("*").alias("units"), F.count_if(F.col("k") < 90).alias("good"))
-    bad = e.where("event_type = 'error' and plant != 5").groupBy("plant").agg(F.count("*").alias("incidents"))
+    made = e.where("event_type = 'purchase'").groupBy("plant").agg(F.count("*").alias("units"), F.count_if(F.col("k") < 90).alias("good"))
+    bad = e.where("event_type = 'error'").groupBy("plant").agg(F.count("*").alias("incidents"))
     both = made.join(bad, "plant", "full")
     return both.select("plant", F.coalesce("units", F.lit(0)).alias("units"), F.coalesce("incidents", F.lit(0)).alias("incidents"), F.round(100 * safe_div(F.col("good"), F.col("units")), 6).alias("quality_pct"))
 
@@ -122,7 +118,7 @@ LAG = "(100 + (event_id * 37) % 1401)"
 @query(f"WITH {E} SELECT event_type, count(*) AS events, round(avg({LAG}), 6) AS avg_lag_ms, CAST(quantile_disc({LAG}, 0.95) AS BIGINT) AS p95_lag_ms FROM e GROUP BY 1")
 def stream_health(spark, sf):
     lag = F.expr(LAG)
-    return events(spark, sf).groupBy("event_type").agg(F.count("*").alias("events"), F.round(F.avg(lag), 6).alias("avg_lag_ms"), F.expr(f"percentile_disc(0.95) within group (order by {LAG})").cast("long").alias("p95_lag_ms"))
+    return events(spark, sf).groupBy("event_type").agg(F.count("*").alias("events"), F.round(F.avg(lag), 6).alias("avg_lag_ms"), F.percentile_approx(lag, 0.95, 10_000).cast("long").alias("p95_lag_ms"))
 
 
 # ---- scores ----------------------------------------------------------------------------------------------------------
@@ -490,11 +486,6 @@ def maintenance_summary(spark, sf):
     return used.join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("spare_part")).agg(F.sum("n").alias("orders"), F.sum("q").alias("consumed"))
 
 
-@query("SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_sk, year(d) AS year_no, quarter(d) AS quarter_no, month(d) AS month_no, day(d) AS day_no, week(d) AS iso_week, isodow(d) AS iso_weekday, isodow(d) >= 6 AS is_weekend, CASE WHEN month(d) >= 4 THEN year(d) ELSE year(d) - 1 END AS fiscal_year FROM (SELECT CAST(unnest(generate_series(DATE '2023-12-25', DATE '2025-01-10', INTERVAL 1 DAY)) AS DATE) AS d)")
-def date_dimension(spark, sf):
-    return temporal.date_dimension(spark, "2023-12-25", "2025-01-10")
-
-
 @query("WITH n AS (SELECT c_custkey, c_name || '*' AS c_name, 1 AS src FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT c_custkey + 1000000, c_name, 1 FROM customer WHERE c_custkey % 50 = 0) SELECT c_custkey, c_name FROM n UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM n)")
 def upsert_rows(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_name")
@@ -545,18 +536,18 @@ def semantic_measures(spark, sf):
     return semantic.measure_query(fact, measures, ["r_name"], F.col("l_linestatus") == "F")
 
 
-DAILY = "d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)"
+DAILY = "d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1)"
 
 
 @query(f"WITH {DAILY} SELECT CAST(d.day AS VARCHAR) AS day, CAST(sum(d.n) OVER (PARTITION BY year(d.day) ORDER BY d.day) AS BIGINT) AS ytd, d.n - p.n AS change FROM d LEFT JOIN d p ON d.day = p.day + 1")
 def semantic_time_intelligence(spark, sf):
-    d = table(spark, sf, "orders").where("o_orderkey % 3 = 0").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
+    d = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
     return semantic.prior_day(semantic.year_to_date(d, "day", "n"), "day", "n").select(F.col("day").cast("string").alias("day"), "ytd", "change")
 
 
-@query("SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 4 = 1)")
+@query("SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 8 = 1)")
 def row_level_security(spark, sf):
-    grants = table(spark, sf, "nation").select(F.concat(F.lit("User"), (F.col("n_nationkey") % 4).cast("string"), F.lit("@Example.org")).alias("user_name"), F.col("n_nationkey").alias("plant_id"), F.lit(True).alias("is_active"))
+    grants = table(spark, sf, "nation").select(F.concat(F.lit("User"), (F.col("n_nationkey") % 4).cast("string"), F.lit("@Example.org")).alias("user_name"), F.col("n_nationkey").alias("plant_id"), (F.col("n_nationkey") % 8 == 1).alias("is_active"))
     return semantic.secured(table(spark, sf, "supplier"), grants, "USER1@example.org", "s_nationkey").select("s_suppkey", "s_nationkey")
 
 
@@ -576,40 +567,110 @@ def rag_vector_top_k(spark, sf):
 
 
 TERMS = "list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')"
-BM25 = f"""d AS (SELECT doc_id, {TERMS} AS terms FROM documents), q AS (SELECT item_id AS q_id, list_distinct(list_slice({TERMS}, 1, 6)) AS terms FROM benchmark), s AS (SELECT count(*) AS n, avg(len(terms)) AS al FROM d),
+BM25 = f"""d AS (SELECT doc_id, {TERMS} AS terms FROM documents), q AS (SELECT item_id AS q_id, list_distinct({TERMS}) AS terms FROM benchmark), s AS (SELECT count(*) AS n, avg(len(terms)) AS al FROM d),
 qt AS (SELECT q_id, unnest(terms) AS term FROM q), dt AS (SELECT doc_id, len(terms) AS l, unnest(terms) AS term FROM d), tf AS (SELECT doc_id, l, term, count(*) AS tf FROM dt WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-sc AS (SELECT q_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / al))), 6) AS score FROM tf JOIN df USING (term) JOIN qt USING (term), s GROUP BY 1, 2)"""
+sc AS (SELECT q_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / al))), 6) AS score FROM tf JOIN df USING (term) JOIN qt USING (term), s GROUP BY 1, 2), ranked AS (SELECT q_id, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 4) DESC, doc_id) AS rank FROM sc)"""
 
 
-def lexical(spark, sf):
-    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
-    docs = table(spark, sf, "documents").select("doc_id", words.alias("terms"))
-    return retrieval.bm25(docs, table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), F.slice(words, 1, 6).alias("terms")))
+def words(text: str = "text"):
+    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
 
 
-@query(f"WITH {BM25} SELECT q_id, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 4) DESC, doc_id) AS r FROM sc) WHERE r <= 5")
+def lexical(spark, sf, k: int):
+    """The k best documents by BM25 for each benchmark text, all of its words asked for."""
+    docs = table(spark, sf, "documents").select("doc_id", words().alias("terms"))
+    s = retrieval.bm25(docs, table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), words().alias("terms"))).withColumn("score", F.round("score", 4))
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
+
+
+@query(f"WITH {BM25} SELECT q_id, doc_id, score FROM ranked WHERE rank <= 5")
 def rag_lexical_top_k(spark, sf):
-    s = lexical(spark, sf).withColumn("score", F.round("score", 4))
-    return s.withColumn("r", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "doc_id"))).where("r <= 5").select("q_id", "doc_id", "score")
+    return lexical(spark, sf, 5).select("q_id", "doc_id", "score")
+
+
+VECTORS = f"""slot AS (SELECT 'd' AS side, doc_id AS id, unnest({TERMS}) AS w FROM documents UNION ALL SELECT 'q', item_id, unnest({TERMS}) FROM benchmark), sv AS (SELECT side, id, CAST('0x' || substr(md5(w), 1, 4) AS INTEGER) % 64 AS slot, CAST(count(*) AS DOUBLE) AS n FROM slot GROUP BY ALL), nv AS (SELECT side, id, sqrt(sum(n * n)) AS norm FROM sv GROUP BY 1, 2),
+cs AS (SELECT q.id AS q_id, d.id AS doc_id, round(sum(q.n * d.n) / (any_value(nq.norm) * any_value(nd.norm)), 6) AS score FROM sv q JOIN sv d ON q.slot = d.slot AND q.side = 'q' AND d.side = 'd' JOIN nv nq ON nq.side = 'q' AND nq.id = q.id JOIN nv nd ON nd.side = 'd' AND nd.id = d.id WHERE d.id <> q.id GROUP BY 1, 2)"""
 
 
-@query(f"WITH {BM25}, a AS (SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 4) DESC, doc_id) AS rank FROM sc), b AS (SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY md5(CAST(q_id AS VARCHAR) || '-' || CAST(doc_id AS VARCHAR))) AS rank FROM sc), u AS (SELECT * FROM a WHERE rank <= 50 UNION ALL SELECT * FROM b WHERE rank <= 50) SELECT q_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM u GROUP BY 1, 2")
+def vector_ranks(spark, sf, k: int, where=None):
+    base = retrieval.embed(table(spark, sf, "documents"), "doc_id", words()).select(F.col("doc_id").alias("b_id"), F.col("vector").alias("b_vec"))
+    asked = retrieval.embed(table(spark, sf, "benchmark"), "item_id", words()).select(F.col("item_id").alias("q_id"), F.col("vector").alias("q_vec"))
+    return retrieval.top_vectors(asked, base, k, where).select("q_id", F.col("b_id").alias("doc_id"), "score", "rank")
+
+
+@query(f"WITH {BM25}, {VECTORS}, u AS (SELECT q_id, doc_id, rank FROM ranked WHERE rank <= 20 UNION ALL SELECT q_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM cs) WHERE rank <= 20) SELECT q_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM u GROUP BY 1, 2")
 def rag_hybrid_fusion(spark, sf):
-    s = lexical(spark, sf).withColumn("score", F.round("score", 4))
-    top = lambda order: s.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(*order))).where("rank <= 50").select("q_id", "doc_id", "rank")
-    return retrieval.fuse(top([F.desc("score"), F.col("doc_id")]), top([F.md5(F.concat_ws("-", "q_id", "doc_id"))]))
+    """Ranks by words and by vectors of the same texts, fused."""
+    return retrieval.fuse(lexical(spark, sf, 20).select("q_id", "doc_id", "rank"), vector_ranks(spark, sf, 20).select("q_id", "doc_id", "rank"))
+
+
+@query("WITH q AS (SELECT vec_id AS q_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT q_id, b.vec_id AS b_id, round(list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM q, embeddings b WHERE b.vec_id <> q_id AND label IN (1, 3)) SELECT q_id, b_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, b_id) AS rank FROM p) WHERE rank <= 5")
+def rag_filtered_vector_top_k(spark, sf):
+    e = table(spark, sf, "embeddings")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec"))
+    return retrieval.top_vectors(q, e.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b_vec"), "label"), 5, F.col("label").isin(1, 3)).select("q_id", "b_id", "rank")
+
 
+#: Knowledge documents made of the driver's: a header, then the text as two sections.
+HEADER = "'# Guide ' || doc_id || chr(10) || 'Document ID: DOC-' || doc_id || chr(10) || 'Version: 1.' || doc_id % 10 || '.0' || chr(10) || 'Knowledge domain: REPAIR' || chr(10) || 'Machine type: ' || CASE doc_id % 3 WHEN 0 THEN 'null' WHEN 1 THEN 'CNC' ELSE 'ROB' END || chr(10)"
+FLAT = "regexp_replace(coalesce(text, ''), '[\\s#]+', ' ', 'g')"
+GUIDES = f"g AS (SELECT doc_id, 'Guide ' || doc_id AS title, CASE doc_id % 3 WHEN 1 THEN 'CNC' WHEN 2 THEN 'ROB' END AS mt, unnest([struct_pack(h := 'First aid', b := {FLAT}), struct_pack(h := 'Second', b := 'See ' || {FLAT})]) AS x FROM documents), w AS (SELECT *, list_filter(regexp_split_to_array(x.b, '\\s+'), lambda y: y <> '') AS ws FROM g), c AS (SELECT *, unnest(range(0, CAST(greatest(ceil((len(ws) - 80) / 440.0), 1) AS BIGINT))) AS i FROM w WHERE len(ws) > 0)"
 
-@query("WITH c AS (SELECT conv_id, turn, [conv_id % 5, conv_id % 7, 100] AS cited, [turn % 5, conv_id % 7] AS got FROM conversations) SELECT conv_id, turn, len(list_filter(cited, lambda x: list_contains(got, x))) AS valid, CASE WHEN len(list_filter(cited, lambda x: list_contains(got, x))) > 0 THEN 'GROUNDED' ELSE 'INSUFFICIENT_EVIDENCE' END AS status FROM c")
+
+def guides(spark, sf):
+    from millrace.sources import files
+
+    flat = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\s#]+", " ")
+    text = f"{HEADER} || '## First aid' || chr(10) || flat || chr(10) || '## Second' || chr(10) || 'See ' || flat"
+    docs = table(spark, sf, "documents").withColumn("flat", flat).selectExpr("CAST(doc_id AS STRING) AS source_file", f"{text} AS text")
+    return retrieval.section_chunks(files.header_metadata(docs))
+
+
+@query(f"WITH {GUIDES} SELECT CAST(doc_id AS VARCHAR) AS source_file, 'DOC-' || doc_id AS document_id, '1.' || doc_id % 10 || '.0' AS version, title || ' > ' || x.h AS heading_path, 'section:' || x.h || ';words:' || i * 440 || '-' || least(i * 440 + 520, len(ws)) AS source_locator, CASE WHEN mt IS NULL THEN 'ENTERPRISE' ELSE 'MACHINE_TYPE' END AS visibility_scope, mt AS visibility_value, 'KCH-' || substr(sha256('DOC-' || doc_id || '|' || '1.' || doc_id % 10 || '.0' || '|' || doc_id || '|' || 'section:' || x.h || ';words:' || i * 440 || '-' || least(i * 440 + 520, len(ws)) || '|' || array_to_string(list_slice(ws, i * 440 + 1, i * 440 + 520), ' ')), 1, 32) AS chunk_id FROM c WHERE mt IS NULL OR mt = 'CNC'")
+def rag_section_chunks(spark, sf):
+    """Chunks of sections that a question about CNC machines may see, without the header's own section."""
+    c = guides(spark, sf).where(retrieval.visible("CNC") & (F.col("section_no") > 0))
+    return c.select("source_file", "document_id", "version", "heading_path", "source_locator", "visibility_scope", "visibility_value", "chunk_id")
+
+
+@query("WITH c AS (SELECT conv_id, turn, [('C' || conv_id % 5, 'D1', '1.0', 'a'), ('C' || conv_id % 7, 'D1', '1.0', 'a'), ('C0', 'D1', '1.1', 'a')] AS cited, [('C' || turn % 5, 'D1', '1.0', 'a'), ('C' || conv_id % 7, 'D1', '1.0', 'b')] AS got FROM conversations) SELECT conv_id, turn, len(list_filter(cited, lambda x: list_contains(got, x))) AS valid, CASE WHEN turn % 2 = 0 AND len(list_filter(cited, lambda x: list_contains(got, x))) = 0 THEN 'INSUFFICIENT_EVIDENCE' WHEN turn % 2 = 0 THEN 'GROUNDED' ELSE 'REFUSED' END AS status FROM c")
 def rag_citation_validation(spark, sf):
+    """A citation is a chunk, a document, a version and a locator; all four have to be those of a retrieved chunk."""
+    cite = lambda n, version="1.0", locator="a": F.struct(F.concat(F.lit("C"), n.cast("string")), F.lit("D1"), F.lit(version), F.lit(locator))
     c = table(spark, sf, "conversations")
-    cited = F.array((F.col("conv_id") % 5).cast("long"), (F.col("conv_id") % 7).cast("long"), F.lit(100).cast("long"))
-    got = F.array((F.col("turn") % 5).cast("long"), (F.col("conv_id") % 7).cast("long"))
-    n = F.size(retrieval.valid_citations(cited, got))
-    return c.select("conv_id", "turn", n.alias("valid"), F.when(n > 0, "GROUNDED").otherwise("INSUFFICIENT_EVIDENCE").alias("status"))
+    cited = F.array(cite(F.col("conv_id") % 5), cite(F.col("conv_id") % 7), cite(F.lit(0), "1.1"))
+    got = F.array(cite(F.col("turn") % 5), cite(F.col("conv_id") % 7, locator="b"))
+    c = c.withColumn("valid_citations", retrieval.valid_citations(cited, got))
+    return c.select("conv_id", "turn", F.size("valid_citations").alias("valid"), retrieval.grounded(F.when(F.col("turn") % 2 == 0, "GROUNDED").otherwise("REFUSED"), F.col("valid_citations")).alias("status"))
+
+
+def _passages(sql: str) -> str:
+    return f"SELECT DISTINCT id, array_to_string(list_slice(t, i + 1, i + 8), ' ') AS p FROM (SELECT id, t, unnest(range(0, len(t) - 7)) AS i FROM ({sql}))"
 
 
-@query("SELECT lang, round(avg(CASE WHEN list_has_any([doc_id % 10, doc_id % 3], [1, 2]) THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, count(*) AS questions FROM documents GROUP BY 1")
+@query(f"WITH {BM25}, dp AS ({_passages(f'SELECT doc_id AS id, {TERMS} AS t FROM documents')}), qp AS ({_passages(f'SELECT item_id AS id, {TERMS} AS t FROM benchmark')}), x AS (SELECT DISTINCT qp.id AS q_id, dp.id AS doc_id FROM qp JOIN dp USING (p)) SELECT x.q_id, max(CASE WHEN r.rank IS NULL THEN 0 ELSE 1 END) = 1 AS hit, round(avg(CASE WHEN r.rank IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall FROM x LEFT JOIN ranked r ON r.q_id = x.q_id AND r.doc_id = x.doc_id AND r.rank <= 5 GROUP BY 1")
 def rag_retrieval_evaluation(spark, sf):
-    hit = F.arrays_overlap(F.array(F.col("doc_id") % 10, F.col("doc_id") % 3), F.array(F.lit(1).cast("long"), F.lit(2).cast("long")))
-    return table(spark, sf, "documents").groupBy("lang").agg(F.round(F.avg(hit.cast("double")), 6).alias("hit_rate"), F.count("*").alias("questions"))
+    """Questions are benchmark texts, expected are documents that share a passage of eight words with them, retrieved are the
+    five best by words."""
+
+    def passages(rows, key):
+        grams = F.transform(F.sequence(F.lit(1), F.size("t") - 7), lambda i: F.array_join(F.slice("t", i, F.lit(8)), " "))
+        return rows.select(F.col(key), words().alias("t")).where(F.size("t") >= 8).select(key, F.explode(grams).alias("p"))
+
+    asked = passages(table(spark, sf, "benchmark"), "item_id").distinct()
+    expected = passages(table(spark, sf, "documents"), "doc_id").join(asked, "p").select(F.col("item_id").alias("q_id"), F.col("doc_id").alias("d_id")).distinct()
+    found = retrieval.evaluate(expected, lexical(spark, sf, 5).select("q_id", F.col("doc_id").alias("d_id"), "rank"), 5)
+    return found.select("q_id", "hit", F.round("recall", 6).alias("recall"))
+
+
+@query("SELECT CASE conv_id % 3 WHEN 0 THEN 'FAULT' WHEN 1 THEN 'SAFETY' ELSE 'OEE' END AS category, count(*) AS answers, count(*) FILTER (turn % 2 = 0) AS grounded, round(avg(CAST(length(text) AS DOUBLE)), 6) AS avg_length FROM conversations GROUP BY 1")
+def rag_evaluation_health(spark, sf):
+    c = table(spark, sf, "conversations")
+    kind = F.when(F.col("conv_id") % 3 == 0, "FAULT").when(F.col("conv_id") % 3 == 1, "SAFETY").otherwise("OEE")
+    return c.groupBy(kind.alias("category")).agg(F.count("*").alias("answers"), F.count_if(F.col("turn") % 2 == 0).alias("grounded"), F.round(F.avg(F.length("text").cast("double")), 6).alias("avg_length"))
+
+
+@query("SELECT conv_id, turn, role, length(text) AS answer_length, CASE WHEN turn % 2 = 0 THEN 'GROUNDED' ELSE 'REFUSED' END AS status FROM conversations WHERE role = 'assistant'")
+def rag_answer_audit(spark, sf):
+    c = table(spark, sf, "conversations").where("role = 'assistant'")
+    return c.select("conv_id", "turn", "role", F.length("text").alias("answer_length"), F.when(F.col("turn") % 2 == 0, "GROUNDED").otherwise("REFUSED").alias("status"))

@@ -116,8 +116,8 @@ def test_files(spark, tmp_path):
     lines.coalesce(1).write.text(str(tmp_path / "event_type=X"))
     scanned = files.scan_lines(spark, str(tmp_path))
     m = files.manifest(scanned).first()
-    assert (m["event_count"], m["first_sequence"], m["last_sequence"], m["complete"]) == (2, 1, 2, True)
-    kinds = spark.createDataFrame([("MachineTelemetry",), ("UnitProduced",), ("AlarmRaised",), (None,)], "t string")
-    assert [r[0] for r in kinds.select(files.stream_name(F.col("t"))).collect()] == ["telemetry", "production", "operational", None]
+    assert (m["event_count"], m["first_sequence"], m["last_sequence"], m["mixed_runs"], m["complete"]) == (2, 1, 2, False, False)  # no date, no plant
+    kinds = spark.createDataFrame([("MachineTelemetry",), ("UnitProduced",), ("AlarmRaised",), (None,), ("",)], "t string")
+    assert [r[0] for r in kinds.select(files.stream_name(F.col("t"))).collect()] == ["telemetry", "production", "operational", None, None]
     head = spark.createDataFrame([("# Guide\nDocument ID: DOC-1\nVersion: 1.2.0\nKnowledge domain: CNC\nMachine type: null",), ("",)], "text string")
-    assert [tuple(r)[1:] for r in files.header_metadata(head).collect()] == [("DOC-1", "1.2.0", "Guide", "CNC", None), ("UNKNOWN", "0.0.0", "Untitled", "GENERAL", None)]
+    assert [tuple(r)[1:] for r in files.header_metadata(head).collect()] == [("DOC-1", "1.2.0", "Guide", "CNC", None), ("DOC-UNKNOWN", "0.0.0", "Untitled", "STANDARD_OPERATING_PROCEDURE", None)]
