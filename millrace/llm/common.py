@@ -15,16 +15,26 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a local one where none is set."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    Where none is set, a session that runs in one process gets a folder of this machine; a cluster has to name one.
+    """
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 class Scratch:
-    """Written tables of one operator call: each cuts the lineage, so a lost executor costs one stage, not the job."""
+    """Written tables of one operator call: each cuts the lineage, so a lost executor costs one stage, not the job.
+
+    The session's spark.sql.execution.arrow.maxBytesPerBatch is 16 MB from then on: results are lazy, so it can't be put
+    back when the call returns.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         # Arrow batches are cut by size too, so that long texts don't add up in a Python worker.

@@ -2,9 +2,10 @@
 
 The lexicon (words and stems) is learned from labelled rows: beginnings of words that toxic texts have in many contexts
 and other texts hardly ever. Words are read by the automaton of all edits of all terms at once: a state is a set of (trie
-node, edits so far); states and steps are made when first met and kept. A hit counts by its edits, by whether it stands in
-quotation marks or after a reporting word, and by other hits nearby; a logistic model fitted on those counts gives the
-score.
+node, edits so far); states and steps are made when first met and kept. Words that are a few edits from a term but which
+texts of label 0 hold are themselves and no misspelling. A hit counts by its edits, by whether it stands in quotation marks
+or after a reporting word, and by other hits nearby; a logistic model fitted on those strengths gives the score. No hit
+outside of a quotation can lower it.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from math import exp, log
+from math import exp, log1p
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +29,40 @@ SAMPLE = 8_000
 TERMS = 2_000
 #: Words to either side of a hit that are its context.
 WINDOW = 6
-_EDGE = re.compile(r"^\W+|\W+$")
+_EDGE, _END = re.compile(r"^\W+|\W+$"), re.compile(r"\W+$")
 _QUOTES = re.compile(r"[\"“”„«»]")
 #: Words that report another's speech or speak of a word.
-REPORTING = frozenset("said says called word words term quote quoted wrote reported sagte sagt wort dit mot dijo dice palabra".split())
+REPORTING = frozenset({"said", "says", "called", "word", "words", "term", "quote", "quoted", "wrote", "reported", "sagte", "sagt", "wort", "dit", "mot", "dijo", "dice", "palabra"})
 #: Signs that stand for letters.
 SIGNS = str.maketrans("013457@$!", "oieastasi")
-FEATURES = 9
+#: What a hit with 0, 1 or 2 edits is worth.
+FACTOR = (1.0, 0.8, 0.5)
+#: Strength, whether there is any, strength near other hits, density, strength of quoted hits. All but the last can only raise.
+FEATURES, RAISING = 5, 4
+
+
+class Terms(NamedTuple):
+    """What is learned of words: terms as (text, whole), and words near a term that aren't misspellings of it."""
+
+    terms: list[tuple[str, bool]]
+    innocent: frozenset[str] = frozenset()
+
+
+def quoted_places(text: str, words: list[str]) -> set[int]:
+    """Places of words that stand in quotation marks or at most WINDOW words after a reporting word."""
+    out: set[int] = set()
+    if _QUOTES.search(text):
+        opened = False
+        for i, w in enumerate(words):
+            marks = len(_QUOTES.findall(w))
+            if opened or marks:
+                out.add(i)
+            opened ^= marks % 2 == 1
+    if not REPORTING.isdisjoint(bare := [_EDGE.sub("", w) for w in words]):
+        for i, w in enumerate(bare):
+            if w in REPORTING:
+                out.update(range(i + 1, min(i + 1 + WINDOW, len(words))))
+    return out
 
 
 def allowed_edits(term: str) -> int:
@@ -41,7 +70,10 @@ def allowed_edits(term: str) -> int:
 
 
 class Lexicon:
-    """terms: (text, whole): a whole word, or a stem that a word begins with. find(word) -> (edits, exact) or None."""
+    """terms: (text, whole): a whole word, or a stem that a word begins with. find(word) -> (edits, exact) or None.
+
+    Edits may be anywhere in a whole word; the first letter of a stem is never changed, dropped or put off.
+    """
 
     def __init__(self, terms: list[tuple[str, bool]], states: int = 50_000):
         self.terms, self.limit = terms, states
@@ -72,35 +104,37 @@ class Lexicon:
         self.start = self._number(frozenset([(0, 0)]))
 
     def _number(self, states: frozenset) -> int:
-        least: dict[int, int] = {}
+        # Nodes from `size` on are the same ones, reached by an edit of the first letter: only whole words may end there.
+        size, least = len(self.children), {}
         todo = list(states)
         while todo:  # a missing letter: on to the children without reading
             node, e = todo.pop()
             if least.get(node, 9) <= e:
                 continue
             least[node] = e
-            if node:
-                todo += [(child, e + 1) for child in self.children[node].values() if e + 1 <= self.edits[child]]
+            plain = node % size
+            over = size if node >= size or not plain else 0
+            todo += [(child + over, e + 1) for child in self.children[plain].values() if e + 1 <= self.edits[child]]
         key = frozenset(least.items())
         if key not in self.numbers:
             self.numbers[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
-            ended = [(e, self.ends[n]) for n, e in key if self.ends[n]]
-            self.final.append(min((e for e, (whole, _, k) in ended if whole and e <= k), default=9))
-            self.begun.append(min((e for e, (_, stem, k) in ended if stem and e <= k), default=9))
+            ended = [(n < size, e, self.ends[n % size]) for n, e in key if self.ends[n % size]]
+            self.final.append(min((e for _, e, (whole, _, k) in ended if whole and e <= k), default=9))
+            self.begun.append(min((e for first, e, (_, stem, k) in ended if first and stem and e <= k), default=9))
         return self.numbers[key]
 
     def _step(self, at: int, c: str) -> int:
-        out = set()
+        out, size = set(), len(self.children)
         for node, e in self.sets[at]:
-            for letter, child in self.children[node].items():
+            plain = node % size
+            for letter, child in self.children[plain].items():
                 cost = e + (letter != c)
-                # The first letter of a term is never another one.
-                if cost <= self.edits[child] and (node or letter == c):
-                    out.add((child, cost))
-            if node and e + 1 <= self.edits[node]:
-                out.add((node, e + 1))
+                if cost <= self.edits[child]:
+                    out.add((child + size if node >= size or not plain and letter != c else child, cost))
+            if e + 1 <= self.edits[plain]:
+                out.add((node if plain else size, e + 1))
         to = self.steps[at][c] = self._number(frozenset(out)) if out else -1
         return to
 
@@ -121,52 +155,50 @@ class Lexicon:
 
 
 class Scanner:
-    """Features of texts under a lexicon. At most `memo` words that were met are remembered; features don't depend on it."""
+    """Features of texts under what was learned. At most `memo` words that were met are remembered; features don't depend on it."""
 
-    def __init__(self, lexicon: Lexicon, memo: int = 500_000):
-        self.lexicon, self.memo, self.known = lexicon, memo, {}
+    def __init__(self, words: Terms, memo: int = 500_000):
+        self.lexicon, self.innocent, self.memo, self.known = Lexicon(words.terms), words.innocent, memo, {}
 
     def _edits(self, word: str) -> int:
         """0 to 2 edits, or -1. Signs that stand for letters count as an edit."""
         bare = _EDGE.sub("", word)
         found = self.lexicon.find(bare) if bare else None
-        if found is None and (plain := bare.translate(SIGNS)) != bare:
-            found = self.lexicon.find(plain)
-            found = None if found is None else max(1, found)
+        if found is None:
+            # A sign may stand for the first letter; at the end it is punctuation.
+            for plain in {bare.translate(SIGNS), _EDGE.sub("", _END.sub("", word).translate(SIGNS))} - {bare, ""}:
+                if (e := self.lexicon.find(plain)) is not None:
+                    found = min(max(1, e), 9 if found is None else found)
+        if found and bare in self.innocent:
+            found = None
         if len(self.known) >= self.memo:
             self.known.clear()
         self.known[word] = e = -1 if found is None else min(found, 2)
         return e
 
-    def features(self, text: str) -> list[float]:
-        words = text.lower().split()
+    def marks(self, words: list[str]) -> list[int]:
         for w in set(words).difference(self.known):
             self._edits(w)
         marks = list(map(self.known.get, words))
         if None in marks:  # the memo was cleared while the words were learned
             marks = [self._edits(w) if e is None else e for w, e in zip(words, marks)]
-        out = [0.0] * FEATURES
-        hits = [(i, e) for i, e in enumerate(marks) if e >= 0]
+        return marks
+
+    def features(self, text: str) -> list[float]:
+        words = text.lower().split()
+        hits = [(i, e) for i, e in enumerate(self.marks(words)) if e >= 0]
         if not hits:
-            return out
-        quotes = bool(_QUOTES.search(text))
-        open_at, opened = {}, False
-        if quotes:  # whether a quotation is open before each word
-            for i, w in enumerate(words):
-                marks_in = len(_QUOTES.findall(w))
-                open_at[i] = opened or marks_in > 0
-                opened ^= marks_in % 2 == 1
-        places = np.array([i for i, _ in hits])
-        counts = np.zeros(4)
-        near = 0
+            return [0.0] * FEATURES
+        aside = quoted_places(text, words)
+        strength = near = quoted = 0.0
         for k, (i, e) in enumerate(hits):
-            quoted = open_at.get(i, False) or not REPORTING.isdisjoint(_EDGE.sub("", w) for w in words[max(0, i - WINDOW) : i])
-            counts[3 if quoted else e] += 1
-            near += int((k > 0 and i - places[k - 1] <= WINDOW) or (k + 1 < len(hits) and places[k + 1] - i <= WINDOW))
-        rate = 100 * (counts[0] + counts[1]) / (len(words) + 20)
-        out[:4] = np.log1p(counts).tolist()
-        out[4:] = [float(counts[0] > 0), float(counts[1] > 0), float(counts[2] > 0), log(1 + near), log(1 + rate)]
-        return out
+            if i in aside:
+                quoted += FACTOR[e]
+                continue
+            strength += FACTOR[e]
+            if (k > 0 and i - hits[k - 1][0] <= WINDOW) or (k + 1 < len(hits) and hits[k + 1][0] - i <= WINDOW):
+                near += FACTOR[e]
+        return [log1p(strength), min(1.0, strength), log1p(near), log1p(100 * strength / (len(words) + 20)), log1p(quoted)]
 
 
 def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -180,15 +212,16 @@ def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _beginnings(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, whole, toxic, n, contexts): in how many texts of a label a beginning of a word occurs, and 64 bits of the words before it."""
+    """(term, whole, toxic, n, contexts): in how many texts of a label a beginning of a word occurs outside of quotations, and 64 bits of the words before it."""
     for table in tables:
         found: dict[tuple[str, bool, int], list[int]] = {}
         for text, toxic in zip(table.column(1).to_pylist(), table.column(2).to_pylist()):
             here: dict[tuple[str, bool], int] = {}
-            before = ""
-            for w in (text or "").lower().split():
+            before, words = "", (text or "").lower().split()
+            aside = quoted_places(text or "", words)
+            for i, w in enumerate(words):
                 bare = _EDGE.sub("", w)
-                if len(bare) > 3 and bare[:4].isalpha():
+                if i not in aside and len(bare) > 3 and bare[:4].isalpha():
                     bit = 1 << (zlib.crc32(before.encode()) & 63)
                     for k in range(4, min(len(bare), 9)):
                         here[bare[:k], False] = here.get((bare[:k], False), 0) | bit
@@ -226,9 +259,29 @@ def learn_lexicon(sample: DataFrame, support: float = 0.01, contexts: int = 6, l
     return chosen[:TERMS]
 
 
-def _features(sample: DataFrame, lexicon: list[tuple[str, bool]]) -> np.ndarray:
+def learn_innocent(sample: DataFrame, terms: list[tuple[str, bool]], lift: float = 12.0) -> frozenset[str]:
+    """Words of a labelled sample that are near a term and in texts of label 0, and not `lift` times as often in the others."""
+
+    def work(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(Terms(terms))
+        for table in tables:
+            words, labels = [], []
+            for text, toxic in zip(table.column(1).to_pylist(), table.column(2).to_pylist()):
+                here = sorted(set((text or "").lower().split()))
+                near = {_EDGE.sub("", w) for w, e in zip(here, scanner.marks(here)) if e > 0}
+                words += near
+                labels += [toxic] * len(near)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32())], names=["word", "toxic"])
+
+    size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    counts = sample.mapInArrow(work, "word string, toxic int").groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good")).where("good > 0")
+    often = (F.col("bad") / max(1, size.get(1, 0))) >= lift * (F.col("good") / max(1, size.get(0, 0)))
+    return frozenset(r["word"] for r in counts.where(~often).select("word").collect())  # words of at most about 2 * SAMPLE texts
+
+
+def _features(sample: DataFrame, words: Terms) -> np.ndarray:
     def work(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(Lexicon(lexicon))
+        scanner = Scanner(words)
         for table in tables:
             x = [scanner.features(t or "") for t in table.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([table.column(2), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
@@ -238,7 +291,8 @@ def _features(sample: DataFrame, lexicon: list[tuple[str, bool]]) -> np.ndarray:
 
 
 def fit(data: np.ndarray, base_rate: float) -> list[float]:
-    """Weights (the first is the constant) of a logistic model by Newton's method with a ridge; classes weigh as in all rows."""
+    """Weights (the first is the constant) of a logistic model by Newton's method with a ridge; classes weigh as in all rows.
+    Weights of raising features are held at zero or above: one that would fall below stays there while its slope says so."""
     if not len(data):
         return [-4.0] + [0.0] * FEATURES
     order = np.lexsort(data.T[::-1])
@@ -247,34 +301,41 @@ def fit(data: np.ndarray, base_rate: float) -> list[float]:
     weight = np.where(y == 1, base_rate / max(share, 1e-9), (1 - base_rate) / max(1 - share, 1e-9))
     w, ridge = np.zeros(FEATURES + 1), np.full(FEATURES + 1, 0.5)
     ridge[0] = 1e-3
-    for _ in range(60):
+    held = np.zeros(FEATURES + 1, bool)
+    held[1 : RAISING + 1] = True
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (weight * (p - y)) + ridge * w
-        hess = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(hess, grad)
-        w -= step * min(1.0, 4.0 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-8:
+        free = ~(held & (w <= 0) & (grad > 0))
+        some = x[:, free]
+        hess = (some * (weight * p * (1 - p) + 1e-9)[:, None]).T @ some + np.diag(ridge[free])
+        step = np.linalg.solve(hess, grad[free])
+        before = w.copy()
+        w[free] -= step * min(1.0, 4.0 / max(1e-9, np.abs(step).max()))
+        w[held] = np.maximum(w[held], 0)
+        if np.abs(w - before).max() < 1e-8:
             break
     return w.tolist()
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, bool]], list[float]]:
-    """Lexicon and weights from documents (doc_id, text) and labels (doc_id, toxic); no other column is read."""
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[Terms, list[float]]:
+    """Words and weights from documents (doc_id, text) and labels (doc_id, toxic); no other column is read."""
     sample = _training(docs.select("doc_id", "text"), labels.select("doc_id", "toxic")).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).persist()
     try:
-        lexicon = learn_lexicon(sample)
+        terms = learn_lexicon(sample)
+        words = Terms(terms, learn_innocent(sample, terms))
         fold = labels.where((remainder5(F.col("doc_id")) != 0) & F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
-        return lexicon, fit(_features(sample, lexicon), min(0.5, max(0.01, fold or 0.01)))
+        return words, fit(_features(sample, words), min(0.5, max(0.01, fold or 0.01)))
     finally:
         sample.unpersist()
 
 
-def score(docs: DataFrame, lexicon: list[tuple[str, bool]], weights: list[float], column: str = "score") -> DataFrame:
+def score(docs: DataFrame, words: Terms, weights: list[float], column: str = "score") -> DataFrame:
     """docs with one more column: the probability that the text is toxic. A null text is an empty one."""
     schema = docs.schema
 
     def work(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(Lexicon(lexicon))
+        scanner = Scanner(words)
         for table in tables:
             scores = []
             for t in table.column(table.schema.get_field_index("text")).to_pylist():
@@ -297,6 +358,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Labels of rows whose crc32(doc_id) mod 5 is 0 are never read. Without any label of 1 in the rest, no text is toxic.
     Repeated rows get equal scores; several labels of one id count as 1 if any is.
     """
-    lexicon, weights = learn(docs, labels)
-    out = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), lexicon, weights)
+    words, weights = learn(docs, labels)
+    out = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), words, weights)
     return out.select("doc_id", F.coalesce(remainder5(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
