@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import gold, silver
+from millrace.sources.scratch import cut
 
 T = "et = 'view'"
 O = "et in ('click', 'error', 'signup')"  # noqa: E741
@@ -133,9 +134,16 @@ def gated(spark: SparkSession, sf: str) -> DataFrame:
     return silver.quality_gate(rows)
 
 
+_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+
+
 def accepted(spark: SparkSession, sf: str) -> DataFrame:
-    """Accepted rows with the columns of the envelope."""
-    return gated(spark, sf).where("rejection_code is null").select("n", "payload", "payload_sha256", *silver.ENVELOPE, "event_date")
+    """Accepted rows with the columns of the envelope: the silver table, which a session writes once for each folder, as
+    facts, features and measures all read it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = cut(gated(spark, sf).where("rejection_code is null").select("n", "payload", "payload_sha256", *silver.ENVELOPE, "event_date"))
+    return _WRITTEN[key]
 
 
 def domain(spark: SparkSession, sf: str, name: str) -> DataFrame:
