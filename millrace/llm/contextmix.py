@@ -26,19 +26,32 @@ from .common import Scratch, remainder5
 
 #: Words with leaves of their own, and classes of the others.
 OWN, CLASSES = 2047, 256
-#: Bits of the slots of the tables: after one word, after two, after the last of the FREQUENT most frequent words.
-SLOT_BITS, FREQUENT = (20, 20, 18), 64
+#: The tables (after one word, after two, after the last of the FREQUENT most frequent words) grow with the training tokens:
+#: one slot for about two of them, up to 2 ** MOST_BITS slots of two bytes, which bounds what executors hold.
+MOST_BITS, FREQUENT = 21, 64
 CHUNK = 1 << 16
 #: Vocabularies up to this size (12 bytes a word) are sent to all executors; counts of larger ones come by a join.
-SEND = 8_000_000
+SEND = 4_000_000
 #: Tables that one task adds up.
 FAN_IN = 64
-BLOCK, GATES, BUCKETS = 64, 12, 24
-START = (0.35, 0.75, 0.35)
+#: Places of a text before which the weights are updated: after 4 tokens, then after a quarter more each time, at least 4 and
+#: at most 64, so that short texts are learned from too. Far texts go on in steps of 64.
+BLOCKS = [4]
+while BLOCKS[-1] < 1 << 22:
+    BLOCKS.append(BLOCKS[-1] + max(4, min(64, BLOCKS[-1] // 4)))
+BLOCKS = np.array(BLOCKS)
+GATES, BUCKETS = 12, 24
+START = (0.3, 0.6, 0.6)
 END = b"\n"  # no word holds white space
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
+def slot_bits(tokens: int) -> tuple[int, int, int]:
+    """Bits of the slots of the three tables."""
+    most = min(MOST_BITS, max(14, (max(1, tokens) - 1).bit_length() - 1))
+    return most, most, max(12, most - 2)
+
+
 def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) >> 1  # fits a signed long
 
@@ -94,7 +107,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
 class Tree:
     """Leaves: own words by hash, classes, the unseen. Codes as node and bit sequences, and each node's probability of a 1."""
 
-    def __init__(self, own: list[tuple[int, int]], masses: dict[int, float]):
+    def __init__(self, own: list[tuple[int, int]], masses: dict[int, float], tokens: int = 1 << 20):
+        self.slot_bits = slot_bits(tokens)
         keys = np.array([h for h, _ in own], np.int64)
         self.own_leaf = np.argsort(keys)
         self.own_keys = keys[self.own_leaf]
@@ -203,7 +217,7 @@ def _expand(tree: Tree, leaf: np.ndarray, contexts: list[np.ndarray]):
     at = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size) + tree.at[leaf][token]
     node, bit = tree.nodes[at], tree.bits[at]
     salt = (node + 1).astype(np.uint64) * _K[3]
-    slots = [((c[token] ^ salt) * _K[0] >> np.uint64(64 - s)).astype(np.int64) for c, s in zip(contexts, SLOT_BITS)]
+    slots = [((c[token] ^ salt) * _K[0] >> np.uint64(64 - s)).astype(np.int64) for c, s in zip(contexts, tree.slot_bits)]
     return token, node, bit, slots
 
 
@@ -224,7 +238,7 @@ def _table_parts(tree: Tree):
     def work(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        reader, sums, any_ = Reader(tree, None), [np.zeros(2 << s, np.uint32) for s in SLOT_BITS], False
+        reader, sums, any_ = Reader(tree, None), [np.zeros(2 << s, np.uint32) for s in tree.slot_bits], False
         for table in tables:
             texts = [t or b"" for t in table.column(0).to_pylist()]
             for a, b in _groups(texts, 1 << 20):
@@ -232,12 +246,14 @@ def _table_parts(tree: Tree):
                 _, _, contexts = _slots(reader, idx, sizes)
                 _, _, bit, slots = _expand(tree, reader.leaf[idx], contexts)
                 for k, s in enumerate(slots):
-                    sums[k] += np.bincount(2 * s + bit, minlength=2 << SLOT_BITS[k]).astype(np.uint32)
+                    np.add.at(sums[k], 2 * s + bit, np.uint32(1))  # of one type, or it is many times slower
                 any_ = True
         if any_:
             part = TaskContext.get().partitionId()
             for k, x in enumerate(sums):
                 for piece in range(0, len(x), 2 * CHUNK):
+                    if not x[piece : piece + 2 * CHUNK].any():
+                        continue
                     body = zlib.compress(x[piece : piece + 2 * CHUNK].astype("<u4").tobytes(), 1)
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([piece // (2 * CHUNK)], pa.int32()), pa.array([part], pa.int64()), pa.array([body], pa.binary())], names=["k", "piece", "part", "body"])
 
@@ -251,7 +267,7 @@ def _added(table: pa.Table) -> pa.Table:
 
 
 def context_tables(texts: DataFrame, tree: Tree, scratch: Scratch) -> list[np.ndarray]:
-    """(slots, 2) counts of zeros and ones of each table. Tasks' tables are added up in steps of at most FAN_IN of them."""
+    """The packed counts of zeros and ones of each table. Tasks' tables are added up in steps of at most FAN_IN of them."""
     schema = "k int, piece int, part long, body binary"
     parts = scratch.cut(texts.mapInArrow(_table_parts(tree), schema), "tables", "none")
     most = parts.agg(F.max("part")).first()[0]
@@ -260,10 +276,10 @@ def context_tables(texts: DataFrame, tree: Tree, scratch: Scratch) -> list[np.nd
         parts, most = scratch.cut(parts, "tables", "none"), most // FAN_IN
         if most == 0:
             break
-    out = [np.zeros((1 << s, 2), np.uint32) for s in SLOT_BITS]
+    out = [np.zeros(1 << s, np.uint16) for s in tree.slot_bits]
     for r in parts.collect():  # a fixed number of pieces of a fixed size
         x = np.frombuffer(zlib.decompress(r["body"]), "<u4").reshape(-1, 2)
-        out[r["k"]][r["piece"] * CHUNK : r["piece"] * CHUNK + len(x)] = x
+        out[r["k"]][r["piece"] * CHUNK : r["piece"] * CHUNK + len(x)] = _packed(x)
     return out
 
 
@@ -271,10 +287,10 @@ def context_tables(texts: DataFrame, tree: Tree, scratch: Scratch) -> list[np.nd
 _SHARES, _AMOUNTS = (np.arange(256) / 255).astype(np.float32), (np.exp2(np.arange(256) / 16) - 1).astype(np.float32)
 
 
-def _packed(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each slot: the share of ones in 255ths and the logarithm of its count, a byte each."""
+def _packed(table: np.ndarray) -> np.ndarray:
+    """Of each slot: the share of ones in 255ths, and above it the logarithm of its count, a byte each."""
     n = table.sum(1, dtype=np.float64)
-    return np.round(255 * table[:, 1] / np.maximum(n, 1)).astype(np.uint8), np.minimum(255, np.round(16 * np.log2(n + 1))).astype(np.uint8)
+    return np.round(255 * table[:, 1] / np.maximum(n, 1)).astype(np.uint16) | np.minimum(255, np.round(16 * np.log2(n + 1))).astype(np.uint16) << np.uint16(8)
 
 
 def score_texts(reader: Reader, tables, texts: list[bytes], given: dict[int, int] | None = None):
@@ -285,14 +301,15 @@ def score_texts(reader: Reader, tables, texts: list[bytes], given: dict[int, int
     leaf = reader.leaf[idx]
     result = np.bincount(doc, reader.share[idx], len(sizes))
     # Blocks of all documents in turn: the first of each, the second of each, ...
-    block = place // BLOCK
+    block = np.searchsorted(BLOCKS, place, side="right")
     order = np.argsort(block, kind="stable")
     token, node, bit, slots = _expand(tree, leaf[order], [c[order] for c in contexts])
     base, first = tree.stretch.astype(np.float32)[node], (0.6 * tree.one).astype(np.float32)[node]
     inputs, seen = [], []
-    for (share, amount), s in zip(tables, slots):
-        n = _AMOUNTS[amount[s]]
-        ones = n * _SHARES[share[s]]
+    for table, s in zip(tables, slots):
+        both = table[s]
+        n = _AMOUNTS[both >> 8]
+        ones = n * _SHARES[both & 255]
         ones += first
         odds = np.log(np.clip(ones / (n + np.float32(0.6) - ones), np.float32(1e-4), np.float32(1e4)))
         inputs.append(odds - base)
@@ -325,7 +342,8 @@ def score_texts(reader: Reader, tables, texts: list[bytes], given: dict[int, int
 
 
 def scores(docs: DataFrame, held_out: int = 1, send: int = SEND) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
+    """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10), bits_per_byte:
+    the model's total bits over the bytes of the text, null where it has none.
 
     Counts and tables are learned from all rows whose crc32(doc_id) mod 5 isn't `held_out`; a null doc_id isn't held out.
     A null text is empty: one token, its end. Without training rows every token is unseen, with probability 1.
@@ -341,8 +359,8 @@ def scores(docs: DataFrame, held_out: int = 1, send: int = SEND) -> DataFrame:
     own = [(r["h"], r["n"]) for r in vocab.orderBy((F.col("h") == end).desc(), F.desc("n"), "h").limit(OWN + 1).collect()]
     own.sort(key=lambda x: (-x[1], x[0]))
     mass = vocab.join(F.broadcast(spark.createDataFrame([(h,) for h, _ in own], "h long")), "h", "left_anti").groupBy("cls").agg(F.sum(F.col("n") + 0.5).alias("mass"))
-    tree = Tree(own, {r["cls"]: float(r["mass"]) for r in mass.collect()})  # CLASSES rows at most
-    tables = [_packed(t) for t in context_tables(train, tree, scratch)]
+    tree = Tree(own, {r["cls"]: float(r["mass"]) for r in mass.collect()}, tokens)  # CLASSES rows at most
+    tables = context_tables(train, tree, scratch)
     total = tokens + 0.5 * (kinds + 1)
     small = kinds <= send
     if small:
@@ -371,10 +389,11 @@ def scores(docs: DataFrame, held_out: int = 1, send: int = SEND) -> DataFrame:
                 base = np.bincount(doc, np.log10((c + 0.5) / total), len(n))
                 for column, x in zip(out, (n, known, base, s)):
                     column += x.tolist()
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64())], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64()), pa.array([len(t) for t in texts], pa.int64())], names=["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
 
-    out = rows.select("doc_id", "text", "counts").mapInArrow(work, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    out = rows.select("doc_id", "text", "counts").mapInArrow(work, "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    bits = F.when(F.col("n_bytes") > 0, -F.col("score") / float(np.log10(2)) / F.col("n_bytes"))
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
 
 
 def _with_counts(rows: DataFrame, vocab: DataFrame) -> DataFrame:
