@@ -210,6 +210,33 @@ def read_tokens(segments: DataFrame) -> DataFrame:
     return rows.join(starts, ["segment_part", "segment_no"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def tokens_at(segments: DataFrame, asked: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """asked (token_index: a place among the ids of all documents) -> token_index, token; null for places that there aren't.
+
+    Indexes meet their segment through bins of a width, then each segment answers its own by address. Repeated indexes are
+    answered once each; a segment with none is not decoded.
+    """
+    order = Window.orderBy("segment_part", "segment_no").rowsBetween(Window.unboundedPreceding, -1)  # a row a segment
+    starts = segments.select("segment_part", "segment_no", "n_ids", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))
+    spans = starts.withColumn("bin", F.explode(F.sequence(F.floor(F.col("before") / width), F.floor((F.col("before") + F.col("n_ids") - 1) / width))))
+    wanted = asked.select(F.col("token_index").cast("long").alias("token_index")).distinct()
+    placed = wanted.withColumn("bin", F.floor(F.col("token_index") / width)).join(spans, "bin").where((F.col("token_index") >= F.col("before")) & (F.col("token_index") < F.col("before") + F.col("n_ids")))
+    placed = placed.select(F.col("segment_part").alias("p"), F.col("segment_no").alias("n"), "token_index", (F.col("token_index") - F.col("before")).alias("within"))
+
+    def answer(bodies: pa.Table, places: pa.Table) -> pa.Table:
+        out = []
+        if bodies.num_rows and places.num_rows:
+            s = Segment(bodies.column("body")[0].as_py())
+            out = [s.token(i) for i in places.column("within").to_pylist()]
+        return pa.table({"token_index": places.column("token_index").slice(0, len(out)), "token": pa.array(out, pa.int64())})
+
+    key = ["segment_part", "segment_no"]
+    named = placed.select("p", "n").distinct()
+    held = segments.join(named, (segments["segment_part"] == named["p"]) & (segments["segment_no"] == named["n"]), "left_semi").select(*key, "body")
+    found = held.groupBy(*key).cogroup(placed.groupBy("p", "n")).applyInArrow(answer, "token_index long, token long")
+    return asked.select(F.col("token_index").cast("long").alias("token_index")).join(found, "token_index", "left")
+
+
 def token_file(docs: DataFrame, tokenizer: str, segment_ids: int = 1 << 20, end_id: int = 0) -> DataFrame:
     """Writes a token file of all documents into the shared folder and describes what is read back from it."""
     spark = docs.sparkSession

@@ -257,12 +257,46 @@ def test_one_row_null_ids_and_ties_of_fingerprints(spark):
 
 
 # ---- op10 ------------------------------------------------------------------------------------------------------------
+class Bare(contextmix.Reader):
+    """Texts without an end of their own; the word <end> is one."""
+
+    def read(self, texts, given=None):
+        words = [[contextmix.END if w == b"<end>" else w for w in t.split()] for t in texts]
+        sizes = np.array([len(w) for w in words])
+        idx = np.array([self.index[w] for some in words for w in some], np.int64)
+        if self.index.new:
+            self._learn(self.index.new, given)
+            self.index.new = []
+        return idx, sizes
+
+
+def test_mixed_probabilities_of_all_next_words_add_up_to_one():
+    rng = np.random.default_rng(8)
+    counts = {contextmix.END: 40} | {f"{c}{k}".encode(): int(rng.integers(1, 50)) for c in "abcdef" for k in range(12)}
+    order = sorted(counts, key=lambda w: (-counts[w], contextmix._hash(w)))
+    own, rest = order[:30], order[30:]
+    masses = {c: sum(counts[w] + 0.5 for w in rest if contextmix._class(w) == c) for c in {contextmix._class(w) for w in rest}}
+    tree = contextmix.Tree([(contextmix._hash(w), counts[w]) for w in own], masses, 1 << 13)
+    known = sorted((contextmix._hash(w), n) for w, n in counts.items())
+    reader = Bare(tree, (np.array([h for h, _ in known]), np.array([n for _, n in known])))
+    tables = [rng.integers(0, 1 << 16, 1 << b, dtype=np.uint16) for b in tree.slot_bits]
+    score = lambda texts: contextmix.score_texts(reader, tables, texts)[4]
+    every = [w if w != contextmix.END else b"<end>" for w in counts] + [b"never-seen"]
+    for prefix in (b"", b"a1", b" ".join([b"a1", b"b2", b"c3"] * 7)):
+        before = score([prefix])[0] if prefix else 0.0
+        assert (10 ** (score([prefix + b" " + w for w in every]) - before)).sum() == pytest.approx(1.0, abs=1e-4)
+
+
 def test_odd_rows_of_scores(spark):
     rows = [(None, "a b"), (1, "a b"), (1, "a b"), (2, None), (3, "A  b"), (4, "x" * 5000)]
     out = contextmix.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     by = {}
     for r in out:
         by.setdefault(r["doc_id"], set()).add((r["n_tokens"], r["n_known"], r["score"]))
+    for r in out:
+        size = len(({i: t for i, t in rows if i is not None}.get(r["doc_id"]) or "").encode())
+        assert r["bits_per_byte"] == (pytest.approx(-r["score"] / np.log10(2) / size) if r["doc_id"] is not None and size else r["bits_per_byte"])
+    assert [r["bits_per_byte"] for r in out if r["doc_id"] == 2] == [None]
     assert len(out) == 6 and len(by[1]) == 1 and {x[0] for x in by[2]} == {1} and by[3] == by[1] == by[None]
 
 
@@ -355,3 +389,30 @@ def test_clashing_columns_are_not_looked_at(spark):
     assert {r["component_id"] for r in jaccardjoin.jaccard_components(docs).collect()} == {0}
     assert contextmix.scores(docs).count() == fingerprints.fingerprints(docs).count() == shards.shard_documents(docs, 2).count() == 2
     assert toxicity.toxicity(docs, spark.createDataFrame([(0, 1, "z")], "doc_id long, toxic int, text string")).count() == 2
+
+
+# ---- op7 -------------------------------------------------------------------------------------------------------------
+def test_each_template_is_found_in_its_own_text_alone(spark):
+    from millrace.llm import licenses
+
+    names = list(licenses.TEMPLATES)
+    texts = [f"some words before it\n{licenses.TEMPLATES[n].upper()}\n and after it" for n in names]
+    found = sorted((names[r["doc_id"]], r["license"]) for r in licenses.scan(frame(spark, [*texts, texts[0], None])).where(F.col("doc_id") < len(names)).collect())
+    assert found == sorted([(n, n) for n in names] + [("Apache-2.0-header", "Apache-2.0")])  # the header begins with the short notice
+    twice = spark.createDataFrame([(5, "All rights reserved"), (5, "All rights reserved"), (None, "ALL RIGHTS RESERVED!")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["license"]) for r in licenses.scan(twice).collect() if r["doc_id"]) == [(5, "Rights-reserved")] * 2 and licenses.scan(twice).count() == 3
+
+
+# ---- op3 -------------------------------------------------------------------------------------------------------------
+def test_any_token_by_its_place_among_all(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from millrace.llm import tokenfile
+
+    tok, texts = Tokenizer.from_file(tokenizer_path()), odd_texts()
+    ids = [x for t in texts for x in [*tok.encode(t or "", add_special_tokens=False).ids, 0]]
+    tokenfile.write_tokens(frame(spark, texts), str(tmp_path / "f"), tokenizer_path(), segment_ids=700)
+    segments = spark.read.schema(tokenfile.SEGMENT).parquet(str(tmp_path / "f"))
+    asked = [0, 1, 699, 700, 701, len(ids) - 1, len(ids) // 2, 5, 5]
+    got = tokenfile.tokens_at(segments, spark.createDataFrame([(i,) for i in [*asked, len(ids), -1, None]], "token_index long"), width=512).collect()
+    assert sorted(((r["token_index"], r["token"]) for r in got), key=str) == sorted([*((i, ids[i]) for i in asked), (len(ids), None), (-1, None), (None, None)], key=str)
