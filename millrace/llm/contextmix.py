@@ -241,7 +241,7 @@ def _table_parts(tree: Tree):
         reader, sums, any_ = Reader(tree, None), [np.zeros(2 << s, np.uint32) for s in tree.slot_bits], False
         for table in tables:
             texts = [t or b"" for t in table.column(0).to_pylist()]
-            for a, b in _groups(texts, 1 << 20):
+            for a, b in _groups(texts, 1 << 18):
                 idx, sizes = reader.read(texts[a:b])
                 _, _, contexts = _slots(reader, idx, sizes)
                 _, _, bit, slots = _expand(tree, reader.leaf[idx], contexts)
