@@ -41,26 +41,30 @@ def threshold_for_recall(df: DataFrame, score: str, label: str, recall: float) -
     return fit.orderBy(F.desc("precision"), F.desc("threshold")).limit(1)
 
 
-def psi(baseline: DataFrame, recent: DataFrame, value: str, bins: int = 10, floor: float = 1e-6) -> DataFrame:
-    """Population stability index over quantile bins of the baseline; fewer than three edges: 0."""
-    edges = baseline.agg(F.array_distinct(F.percentile(value, [i / bins for i in range(bins + 1)])).alias("edges"))
+def psi(baseline: DataFrame, recent: DataFrame, value: str, bins: int = 10, floor: float = 1e-6, accuracy: int | None = None) -> DataFrame:
+    """Population stability index over quantile bins of the baseline; fewer than three edges: 0. The edges, bins + 1 numbers,
+    are found once. Exact quantiles gather the distinct values in one task; `accuracy` asks for approximate ones instead."""
+    shares_of = [i / bins for i in range(bins + 1)]
+    quantiles = F.percentile(value, shares_of) if accuracy is None else F.percentile_approx(value, shares_of, accuracy)
+    edges = baseline.agg(F.array_sort(F.array_distinct(quantiles)).alias("edges")).first()["edges"] or []
+    inner = [float(e) for e in edges[1:-1]]
 
-    def shares(df: DataFrame, name: str) -> DataFrame:
-        inner = F.expr("slice(edges, 2, greatest(size(edges) - 2, 0))")
-        binned = df.select(F.col(value).alias("v")).where("v is not null").crossJoin(F.broadcast(edges)).select(F.size(F.filter(inner, lambda e: F.col("v") > e)).alias("bin"))
-        counts = binned.groupBy("bin").agg(F.count("*").alias("c"))
-        return counts.select("bin", (F.col("c") / F.sum("c").over(Window.partitionBy(F.lit(1)))).alias(name))
+    def counts(df: DataFrame, name: str) -> DataFrame:
+        v = F.col(value).cast("double")
+        place = sum(((v > e).cast("int") for e in inner), F.lit(0))
+        return df.where(v.isNotNull()).groupBy(place.alias("bin")).agg(F.count("*").alias(name))
 
-    both = shares(baseline, "a").join(shares(recent, "b"), "bin", "full")
-    a, b = F.greatest(F.coalesce("a", F.lit(0.0)), F.lit(floor)), F.greatest(F.coalesce("b", F.lit(0.0)), F.lit(floor))
-    return both.agg(F.coalesce(F.sum((b - a) * F.log(b / a)), F.lit(0.0)).alias("psi"))
+    both = counts(baseline, "a").join(counts(recent, "b"), "bin", "full").fillna(0, ["a", "b"])
+    every = Window.partitionBy(F.lit(1))  # over at most `bins` rows
+    a, b = (F.greatest(F.col(c) / F.greatest(F.sum(c).over(every), F.lit(1)), F.lit(floor)) for c in ("a", "b"))
+    return both.select(((b - a) * F.log(b / a)).alias("d")).agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("psi"))
 
 
 def chronological_split(df: DataFrame, at: str, train: float = 0.7, valid: float = 0.15) -> DataFrame:
-    """Adds split by shares of the time span, not of the rows."""
-    ends = df.agg(F.min(at).alias("__lo"), F.max(at).alias("__hi"))
-    place = (F.col(at) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
-    return df.crossJoin(F.broadcast(ends)).withColumn("split", F.when(place < train, "train").when(place < train + valid, "validation").otherwise("test")).drop("__lo", "__hi")
+    """Adds split by shares of the time span, not of the rows. The two ends of the span are found first."""
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    place = F.try_divide(F.col(at) - F.lit(low), F.lit(None if low is None else high - low))  # no span: all is test
+    return df.withColumn("split", F.when(place < train, "train").when(place < train + valid, "validation").otherwise("test"))
 
 
 def balanced_sample(df: DataFrame, label: str, ratio: int, most: int, *key: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.columns import hash_id
+from millrace.sources.scratch import cut
 
 #: Query vectors that one pass over the base holds; more queries take more passes.
 QUERIES_A_PASS = 20_000
@@ -122,6 +123,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avg_len"))
     wanted = queries.select("q_id", F.explode(F.array_distinct("terms")).alias("term"))
     tf = docs.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    tf = cut(tf)  # asked words only; counted and scored from one table
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))

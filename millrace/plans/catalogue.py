@@ -48,8 +48,9 @@ E = "e AS (SELECT event_id, epoch_us(ts) AS us, user_id, event_type, value, CAST
 
 
 def as_of(e: DataFrame, df: DataFrame, span: int) -> DataFrame:
-    """Rows of the last `span` before the newest event: a row of one number is sent to all."""
-    return df.crossJoin(F.broadcast(e.agg(F.max("us").alias("__now")))).where(F.col("us") >= F.col("__now") - span).drop("__now")
+    """Rows of the last `span` before the newest event, whose time is found first, so that the bound is a number."""
+    newest = e.agg(F.max("us")).first()[0]
+    return df.where(F.col("us") >= F.lit(newest) - span)
 
 
 # ---- real time -------------------------------------------------------------------------------------------------------
@@ -174,9 +175,9 @@ z AS (SELECT greatest(coalesce(x.s, 0), 1e-6) AS p, greatest(coalesce(y.s, 0), 1
 SELECT psi, CASE WHEN psi >= 0.25 THEN 'CRITICAL' WHEN psi >= 0.1 THEN 'WARN' ELSE 'OK' END AS status FROM s""")
 def ml_psi_drift(spark, sf):
     e = events(spark, sf)
-    cut = e.agg(F.min("us").alias("lo"), F.max("us").alias("hi")).select(F.expr("lo + (hi - lo) * 3 div 4").alias("cut"))
-    marked = e.crossJoin(F.broadcast(cut))
-    p = learning.psi(marked.where("us < cut"), marked.where("us >= cut"), "value").select(F.round("psi", 6).alias("psi"))
+    low, high = e.agg(F.min("us"), F.max("us")).first()
+    cut = low + (high - low) * 3 // 4
+    p = learning.psi(e.where(F.col("us") < cut), e.where(F.col("us") >= cut), "value").select(F.round("psi", 6).alias("psi"))
     return p.select("psi", band(F.col("psi"), [(0.25, "CRITICAL"), (0.1, "WARN")], "OK").alias("status"))
 
 
