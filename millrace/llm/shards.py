@@ -41,8 +41,9 @@ def _loads(spark, rows: DataFrame, n_shards: int) -> list[int]:
 def balanced_labels(rows: DataFrame, links: DataFrame, n_shards: int, scratch: Scratch, rounds: int = 3, slack: float = 0.02) -> DataFrame:
     """rows (row, size) with unique row texts, links (row, link) -> row, size, shard.
 
-    A link that is larger than a quarter of a shard is divided into parts, by hash, before the rounds: no shard could hold
-    it. Quotas are (1 + slack) times the mean. Only sums by shard reach the driver.
+    A link that is larger than a quarter of a shard is divided into parts, by hash, before the rounds: shards fill up with
+    parts that small, and links between the parts are given up for even sizes. Quotas are (1 + slack) times the mean. Only
+    sums by shard reach the driver.
     """
     spark = rows.sparkSession
     n_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
