@@ -10,6 +10,7 @@ word has its share of the class's counts. So the probabilities of all tokens add
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import zlib
 from collections import Counter
@@ -30,7 +31,7 @@ OWN, CLASSES = 2047, 256
 #: one slot for about two of them, up to 2 ** MOST_BITS slots of two bytes, which bounds what executors hold.
 MOST_BITS, FREQUENT = 21, 64
 CHUNK = 1 << 16
-#: Vocabularies up to this size (12 bytes a word) are sent to all executors; counts of larger ones come by a join.
+#: So many of the most frequent words (12 bytes each) are sent to all executors; counts of the others come by a join.
 SEND = 4_000_000
 #: Tables that one task adds up.
 FAN_IN = 64
@@ -143,7 +144,8 @@ class Tree:
 
 
 class Reader:
-    """Turns texts into arrays of tokens. counts: (sorted hashes, counts), or None if only leaves are asked for."""
+    """Turns texts into arrays of tokens. counts: (sorted hashes, counts), or None if only leaves are asked for. What `given`
+    says of a word that they lack has to be its count in any text, as a word is looked up once."""
 
     def __init__(self, tree: Tree, counts: tuple[np.ndarray, np.ndarray] | None):
         self.tree, self.counts = tree, counts
@@ -164,12 +166,13 @@ class Reader:
                 x = getattr(self, name)
                 setattr(self, name, np.concatenate([x, np.zeros_like(x)]))
         keys = (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) >> np.uint64(1)).view(np.int64)
-        if given is not None:
-            n = np.array([given.get(k, 0) for k in keys.tolist()], np.int64)
-        elif self.counts is not None:
+        if self.counts is not None:
             at, there = _find(self.counts[0], keys)
             n = np.zeros(len(keys), np.int64)
             n[there] = self.counts[1][at[there]]
+            if given:
+                others = np.flatnonzero(~there)
+                n[others] = [given.get(k, 0) for k in keys[others].tolist()]
         else:
             n = np.ones(len(keys), np.int64)
         at, own = _find(tree.own_keys, keys)
@@ -272,8 +275,10 @@ def context_tables(texts: DataFrame, tree: Tree, scratch: Scratch) -> list[np.nd
     parts = scratch.cut(texts.mapInArrow(_table_parts(tree), schema), "tables", "none")
     most = parts.agg(F.max("part")).first()[0]
     while most is not None:
-        parts = parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("long")).groupBy("k", "piece", "part").applyInArrow(_added, schema)
+        last, parts = parts, parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("long")).groupBy("k", "piece", "part").applyInArrow(_added, schema)
         parts, most = scratch.cut(parts, "tables", "none"), most // FAN_IN
+        scratch.drop(last)
+        scratch.sweep()
         if most == 0:
             break
     out = [np.zeros(1 << s, np.uint16) for s in tree.slot_bits]
@@ -362,29 +367,27 @@ def scores(docs: DataFrame, held_out: int = 1, send: int = SEND) -> DataFrame:
     tree = Tree(own, {r["cls"]: float(r["mass"]) for r in mass.collect()}, tokens)  # CLASSES rows at most
     tables = context_tables(train, tree, scratch)
     total = tokens + 0.5 * (kinds + 1)
-    small = kinds <= send
-    if small:
-        found = vocab.select("h", "n").toArrow().sort_by("h")
-        shared = spark.sparkContext.broadcast((found.column("h").to_numpy(), np.minimum(found.column("n").to_numpy(), 0x7FFFFFFF).astype(np.int32) if tokens < 1 << 31 else found.column("n").to_numpy()))
-        del found
-        rows = rows.withColumn("counts", F.lit(None).cast("array<struct<h:bigint,n:bigint>>"))
+    least = 0 if kinds <= send else _least_sent(vocab, send)
+    found = vocab.where(F.col("n") >= least).select("h", "n").toArrow().sort_by("h")
+    shared = spark.sparkContext.broadcast((found.column("h").to_numpy(), np.minimum(found.column("n").to_numpy(), 0x7FFFFFFF).astype(np.int32) if tokens < 1 << 31 else found.column("n").to_numpy()))
+    del found
+    if least:
+        rows = _with_counts(rows, scratch.cut(vocab.where(F.col("n") < least).select("h", "n"), "seldom"), shared, scratch)
     else:
-        shared = None
-        rows = _with_counts(rows, vocab)
+        rows = rows.withColumn("counts", F.lit(None).cast("array<struct<h:bigint,n:bigint>>"))
     model = spark.sparkContext.broadcast((tree, tables))
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree_, tables_ = model.value
-        reader = Reader(tree_, shared.value if shared is not None else None)
+        reader = Reader(tree_, shared.value)
         for part in parts:
             texts = [t or b"" for t in part.column(1).to_pylist()]
-            counts = part.column(2).to_pylist() if shared is None else None
+            counts = part.column(2).to_pylist() if least else None
             out: list[list] = [[], [], [], []]
             for a, b in _groups(texts, 250_000):
                 given = None
                 if counts is not None:
                     given = {x["h"]: x["n"] for c in counts[a:b] for x in c or ()}
-                    reader._reset()
                 n, known, c, doc, s = score_texts(reader, tables_, texts[a:b], given)
                 base = np.bincount(doc, np.log10((c + 0.5) / total), len(n))
                 for column, x in zip(out, (n, known, base, s)):
@@ -396,15 +399,52 @@ def scores(docs: DataFrame, held_out: int = 1, send: int = SEND) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
 
 
-def _with_counts(rows: DataFrame, vocab: DataFrame) -> DataFrame:
-    """rows with counts: (h, n) of each distinct word of the text that the vocabulary has. Equal texts are looked up once."""
+def _least_sent(vocab: DataFrame, send: int) -> int:
+    """A count that `send` words at most reach, so that all of them can be sent: the least such to one part in 256."""
+
+    def down(ranges: DataFrame) -> tuple[int, bool]:
+        """The range in which the words get too many, from the highest on."""
+        nonlocal left
+        at = 0
+        for at, c in sorted(map(tuple, ranges.groupBy("at").count().collect()), reverse=True):
+            if c > left:
+                return at, True
+            left -= c
+        return at, False
+
+    left = send
+    # Counts by their powers of two, then those of one of them in 256 parts: few rows, whatever the vocabulary.
+    bits, over = down(vocab.select((F.length(F.bin("n")) - 1).alias("at")))
+    if not over:
+        return 1
+    part, over = down(vocab.where((F.col("n") >= 1 << bits) & (F.col("n") < 2 << bits)).select(F.floor(F.col("n") * 256 / (1 << bits)).alias("at")))
+    return -(-((part + 1) << bits) // 256)
+
+
+def _with_counts(rows: DataFrame, seldom: DataFrame, sent, scratch: Scratch) -> DataFrame:
+    """rows with counts: (h, n) of each distinct word of the text that isn't sent and that the vocabulary has.
+
+    Words that aren't sent are seldom, so these are few, and each text is shuffled once. A task looks equal texts up once.
+    """
 
     def work(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = sent.value[0], set()
         for table in tables:
-            hs = [[_hash(w) for w in {*(t or b"").lower().split(), END}] for t in table.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([table.column(0), pa.array(hs, pa.list_(pa.int64()))], names=["key", "hs"])
-
-    keyed = rows.withColumn("key", F.sha2(F.coalesce("text", F.lit(b"")), 256))
-    asked = keyed.select("key", "text").groupBy("key").agg(F.first("text").alias("text")).mapInArrow(work, "key string, hs array<long>")
-    found = asked.select("key", F.explode("hs").alias("h")).join(vocab.select("h", "n"), "h").groupBy("key").agg(F.collect_list(F.struct("h", "n")).alias("counts"))
-    return keyed.join(found, "key", "left").drop("key")
+            keys, hs = [], []
+            for text in (t or b"" for t in table.column(0).to_pylist()):
+                key = hashlib.sha256(text).digest()[:16]
+                if key in seen:
+                    continue
+                seen.add(key)
+                words = np.fromiter(map(_hash, {*text.lower().split(), END}), np.int64)
+                seldom_ = words[~_find(known, words)[1]].tolist()
+                keys += [key] * len(seldom_)
+                hs += seldom_
+            if len(seen) > 200_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(hs, pa.int64())], names=["key", "h"])
+
+    asked = rows.select("text").mapInArrow(work, "key binary, h long")
+    found = scratch.cut(asked.join(seldom, "h").groupBy("key").agg(F.collect_set(F.struct("h", "n")).alias("counts")), "counts")
+    scratch.sweep()
+    return rows.withColumn("key", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit(b"")), 256), 1, 32))).join(found, "key", "left").drop("key")

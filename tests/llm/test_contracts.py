@@ -300,6 +300,37 @@ def test_odd_rows_of_scores(spark):
     assert len(out) == 6 and len(by[1]) == 1 and {x[0] for x in by[2]} == {1} and by[3] == by[1] == by[None]
 
 
+def test_only_seldom_words_are_looked_up_by_a_join(spark, monkeypatch):
+    """A joined row for each word of each text is many times the input."""
+    texts = [" ".join(f"common{k}" for k in range(60)) + f" once{i} twice{i // 2}" for i in range(80)]
+    cut, looked_up = contextmix.Scratch.cut, []
+
+    def spied(self, df, name, *more):
+        out = cut(self, df, name, *more)
+        if name == "counts":
+            looked_up.append(out)
+        return out
+
+    monkeypatch.setattr(contextmix.Scratch, "cut", spied)
+    some, every = (sorted(map(tuple, contextmix.scores(frame(spark, texts), send=send).collect())) for send in (70, 10**6))
+    assert len(looked_up) == 1
+    found = [x["h"] for r in looked_up[0].collect() for x in r["counts"]]
+    assert 0 < len(found) <= 160 and not {contextmix._hash(b"common%d" % k) for k in range(60)} & set(found)
+    assert [r[:5] for r in some] == [r[:5] for r in every]
+    assert np.allclose([r[5:7] for r in some], [r[5:7] for r in every])
+
+
+def test_so_many_words_are_sent(spark):
+    rng = np.random.default_rng(3)
+    n = np.concatenate([np.floor(rng.pareto(0.7, 3000) + 1), [2.0**k for k in range(30)]]).astype(np.int64)
+    vocab = spark.createDataFrame([(int(x),) for x in n], "n long")
+    for send in (0, 1, 7, 300, 2000, len(n) - 1, len(n)):
+        least = contextmix._least_sent(vocab, send)
+        assert (n >= least).sum() <= send, send
+        assert (n >= least - 1 - least // 128).sum() > send or least == 1, send
+
+
+
 # ---- the pipeline ----------------------------------------------------------------------------------------------------
 def test_pipeline_stage_by_stage(spark, tmp_path):
     import corpus_pipeline
