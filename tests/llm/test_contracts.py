@@ -63,6 +63,35 @@ def test_a_shingle_of_all_texts_and_groups_in_parts(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_what_is_shuffled_at_once_is_a_share_of_the_input(spark, monkeypatch):
+    """Near copies of everything: whole sets of all texts meet, twice and in the cells of parts, but never all at once."""
+    rng = np.random.default_rng(21)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.integers(10**6)}" for _ in range(80)]
+        for i in range(6):
+            w = list(base)
+            for p in rng.choice(80, i % 3, replace=False):
+                w[p] = f"x{rng.integers(10**6)}"
+            texts.append(" ".join(w))
+    want = groups_of(similar_pairs(sets_of(texts, 4), 85), len(texts))
+    monkeypatch.setattr(jaccardjoin, "ROUND", 1, raising=False)
+    monkeypatch.setattr(jaccardjoin, "SHARE", 3, raising=False)
+    cut, sizes = common.Scratch.cut, {}
+
+    def spied(self, df, name, *more):
+        out = cut(self, df, name, *more)
+        if name in ("sets", "shared", "classes"):
+            sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(common.Scratch, "cut", spied)
+    got = {r["doc_id"]: r["component_id"] for r in jaccardjoin.jaccard_components(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert len(sizes["classes"]) > 1 and sum(sizes["classes"]) == len(set(texts))
+    assert max(sizes["classes"] + sizes["sets"]) < 0.8 * len(set(texts)), sizes
+
+
 def test_null_and_repeated_ids_of_texts(spark):
     a, b, c = ("one two three four five six", "seven eight nine ten eleven", "x y z u v w")
     rows = [(1, a), (4, a), (4, b), (3, b), (None, a), (None, c), (None, None), (7, None), (4, a)]
