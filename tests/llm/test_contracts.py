@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from millrace.llm import capfilters, common, contextmix, fingerprints, jaccardjoin, packing, shards, toxicity
 from millrace.llm.queries import tokenizer_path
 
@@ -422,6 +423,28 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert ran.count() == len(pieces) and ran.columns == kept["packing"].columns
 
 
+def test_near_copies_of_the_pipeline_meet_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    texts = []
+    for _ in range(30):
+        base = " ".join(f"w{rng.integers(10**6)}" for _ in range(80))
+        texts += [base, f"copy {base}"]
+    monkeypatch.setattr(jaccardjoin, "ROUND", 1, raising=False)
+    monkeypatch.setattr(jaccardjoin, "SHARE", 3, raising=False)
+    cut, sets = common.Scratch.cut, []
+
+    def spied(self, df, name, *more):
+        out = cut(self, df, name, *more)
+        if name == "sets":
+            sets.append(out.count())
+        return out
+
+    monkeypatch.setattr(common.Scratch, "cut", spied)
+    kept = corpus_pipeline.keep_one_of_each(spark, frame(spark, texts), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(0, 60, 2))
+    assert max(sets) < 0.8 * len(texts), sets
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline
 
