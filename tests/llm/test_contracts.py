@@ -93,6 +93,36 @@ def test_what_is_shuffled_at_once_is_a_share_of_the_input(spark, monkeypatch):
     assert max(sizes["classes"] + sizes["sets"]) < 0.8 * len(set(texts)), sizes
 
 
+def test_tokens_and_seeds_go_in_rounds_too(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    texts = []
+    for _ in range(40):
+        base = " ".join(f"w{rng.integers(10**6)}" for _ in range(60))
+        texts += [base, f"copy {base}", f"{base} copy"]
+    want = groups_of(similar_pairs(sets_of(texts, 4), 85), len(texts))
+    monkeypatch.setattr(jaccardjoin, "ROUND", 1)
+    monkeypatch.setattr(jaccardjoin, "SHARE", 3)
+    cut, drop, tables = common.Scratch.cut, common.Scratch.drop, {}
+
+    def spied(self, df, name, *more):
+        out = cut(self, df, name, *more)
+        tables.setdefault(name, []).append(out.count())
+        return out
+
+    def dropped(self, *frames):  # tables of prefixes are large, so each goes once it is read
+        tables.setdefault("dropped", []).append(sum(len(f.columns) == 5 and "hubs" in f.columns for f in frames))
+        drop(self, *frames)
+
+    monkeypatch.setattr(common.Scratch, "cut", spied)
+    monkeypatch.setattr(common.Scratch, "drop", dropped)
+    got = {r["doc_id"]: r["component_id"] for r in jaccardjoin.jaccard_components(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    for name in ("agreeing", "known", "met"):
+        assert len(tables[name]) > 1, (name, tables)
+    assert sum(tables["known"]) == len(texts) and max(tables["known"]) < 0.8 * len(texts), tables
+    assert sum(tables["dropped"]) == len(tables["known"])
+
+
 def test_null_and_repeated_ids_of_texts(spark):
     a, b, c = ("one two three four five six", "seven eight nine ten eleven", "x y z u v w")
     rows = [(1, a), (4, a), (4, b), (3, b), (None, a), (None, c), (None, None), (7, None), (4, a)]
