@@ -123,6 +123,20 @@ def test_tokens_and_seeds_go_in_rounds_too(spark, monkeypatch):
     assert sum(tables["dropped"]) == len(tables["known"])
 
 
+def test_rows_of_a_cell_are_joined_by_whole_components():
+    x, y = np.array([3, 3, 5, 1]), np.array([5, 6, 7, 7])
+    assert jaccardjoin._joined(8, x, y).tolist() == [0, 1, 2, 1, 4, 1, 1, 1]
+    rng = np.random.default_rng(24)
+    for _ in range(300):
+        size = int(rng.integers(2, 60))
+        x, y = rng.integers(0, size, (2, int(rng.integers(1, size))))
+        want = list(range(size))
+        for a, b in zip(x.tolist(), y.tolist()):
+            low, high = sorted((want[a], want[b]))
+            want = [low if w == high else w for w in want]
+        assert jaccardjoin._joined(size, x, y).tolist() == want
+
+
 def test_null_and_repeated_ids_of_texts(spark):
     a, b, c = ("one two three four five six", "seven eight nine ten eleven", "x y z u v w")
     rows = [(1, a), (4, a), (4, b), (3, b), (None, a), (None, c), (None, None), (7, None), (4, a)]
