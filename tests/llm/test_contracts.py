@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import capfilters, common, contextmix, fingerprints, jaccardjoin, packing, shards, toxicity
+from millrace.llm import bpe, capfilters, common, contextmix, fingerprints, jaccardjoin, packing, shards, toxicity
 from millrace.llm.queries import tokenizer_path
 
 from .test_llm import SCHEMA, frame, odd_texts
@@ -137,6 +137,24 @@ def test_rows_of_a_cell_are_joined_by_whole_components():
         assert jaccardjoin._joined(size, x, y).tolist() == want
 
 
+def test_a_word_is_encoded_once_for_all_marks_that_end_it():
+    enc = bpe.PieceEncoder(tokenizer_path())
+    tok, asked = enc.tok, []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **more):
+            asked.append(sum(map(len, texts)))
+            return tok.encode_batch_fast(texts, **more)
+
+    words = [f"{a}ä{b}onung{c}é" for a in "abcdefgh" for b in "ijklmn" for c in "opqrst"]
+    text = " ".join(w + m for m in ("", ".", ",", "?!", ";") for w in words)
+    odd = ["", " ", "a", " a", "a ", "a  b.", ".\n x,", "a.\nb c.\n", "x <|endoftext|>. y", "don't we'll, 's. 12. ½. ǆ. Ωx. 中文。, x\x00. y", "a\u00a0. b\u2028, c"]
+    enc.tok = Spy()
+    got = [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode([text, *odd, text])]
+    assert got == [e.ids for e in tok.encode_batch([text, *odd, text], add_special_tokens=False)]
+    assert sum(asked) < len(text) / 2
+
+
 def test_null_and_repeated_ids_of_texts(spark):
     a, b, c = ("one two three four five six", "seven eight nine ten eleven", "x y z u v w")
     rows = [(1, a), (4, a), (4, b), (3, b), (None, a), (None, c), (None, None), (7, None), (4, a)]
