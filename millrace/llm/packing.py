@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import batches, encoder
+from .bpe import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -104,19 +104,20 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, piece: int = 256
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for table in tables:
-            keys, texts = table.column(0).to_pylist(), [t or "" for t in table.column(1).to_pylist()]
-            for a, b in batches(texts):
-                for key, raw in zip(keys[a:b], enc.encode(texts[a:b])):
-                    ids = np.append(np.frombuffer(raw, enc.dtype), enc.dtype.type(end_id)).astype("<u4")
-                    n, ids = len(ids), ids.tobytes()
+            keys = table.column(0).to_pylist()
+            for first, ids, stops in enc.ended(table.column(1), end_id):
+                raw, last = memoryview(ids.astype("<u4")).cast("B"), 0
+                for key, stop in zip(keys[first : first + len(stops)], stops.tolist()):
+                    n = stop - last
                     whole = n - n % capacity
                     for at in range(0, whole, capacity):
-                        out.append((key, at, capacity, zlib.crc32(ids[4 * at : 4 * (at + capacity)]), n, next_id, 0))
+                        out.append((key, at, capacity, zlib.crc32(raw[4 * (last + at) : 4 * (last + at + capacity)]), n, next_id, 0))
                         next_id += 1
                     for at in range(whole, n, piece):
                         size = min(piece, n - at)
-                        waiting.append((key, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n))
+                        waiting.append((key, at, size, zlib.crc32(raw[4 * (last + at) : 4 * (last + at + size)]), n))
                         held += size
+                    last = stop
                 place(False)
                 yield batch()
         place(True)

@@ -155,6 +155,48 @@ def test_a_word_is_encoded_once_for_all_marks_that_end_it():
     assert sum(asked) < len(text) / 2
 
 
+def test_a_word_is_encoded_once_whatever_stands_around_it():
+    from tokenizers import Tokenizer
+
+    enc = bpe.PieceEncoder(tokenizer_path())
+    tok, asked = enc.tok, []
+
+    class Spy:
+        def __init__(self, tok):
+            self.tok = tok
+
+        def encode_batch_fast(self, texts, **more):
+            asked.append(sum(map(len, texts)))
+            return self.tok.encode_batch_fast(texts, **more)
+
+    words = [f"{a}ä{b}onung{c}é" for a in "abcdefgh" for b in "ijklmn" for c in "opqrst"]
+    for name, x in list(vars(enc).items()):
+        if isinstance(x, Tokenizer):
+            setattr(enc, name, Spy(x))
+    texts = [" " + f"{mark} ".join(words) + mark for mark in ("", ".", "$$$", "|", ".\n", "'s", '")', "-12", "\n\n")]
+    got = [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)]
+    assert got == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert 0 < sum(asked) < 2 * sum(len(f" {w}".encode()) for w in words)
+
+
+def test_ids_are_the_tokenizer_s_for_any_characters():
+    import pyarrow as pa
+
+    enc, rng = bpe.PieceEncoder(tokenizer_path(), memo=500), np.random.default_rng(11)
+    parts = [*"abstmd19!-<|>' \n\t\r", "'s", "'ll", "'re", "'LL", "  ", " \n", "\u001c", "\u0085", "\u00a0", "\u2028", "\u3000", "½", "Ⅷ", "é", "ª", "ǅ", "Ω", "中", "क", "\u093f", "\u0301", "😀", "\u200d", "\ue000", "\U0010ffff", "\x00", "<|endoftext|>"]
+    odds = np.array([1.0] * (len(parts) - 1) + [0.05])
+    points = [c for c in rng.integers(0, 0x30000, 4000).tolist() if not 0xD800 <= c < 0xE000]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 40), p=odds / odds.sum())) for _ in range(1500)]
+    texts += [f"a{c}b 1{c}2 !{c}? {c}x\n{c} {c}" for c in map(chr, points)] + [None, "", " ", "'s", "a'"]
+    want = [e.ids for e in enc.tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for array in (pa.array(texts), pa.array(["x", None, *texts], pa.large_string()).slice(2)):
+        got = []
+        for first, ids, ends in enc.ended(array, 7, size=3000):
+            assert first == len(got)
+            got += [ids[a:b].tolist() for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        assert got == [[*w, 7] for w in want]
+
+
 def test_null_and_repeated_ids_of_texts(spark):
     a, b, c = ("one two three four five six", "seven eight nine ten eleven", "x y z u v w")
     rows = [(1, a), (4, a), (4, b), (3, b), (None, a), (None, c), (None, None), (7, None), (4, a)]
