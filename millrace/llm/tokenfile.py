@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import batches, encoder
+from .bpe import encoder
 from .common import Scratch
 
 MAGIC, RANK_BITS = b"DAC1", 512
@@ -159,15 +159,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, segment_ids: int
         from pyspark import TaskContext
 
         part, no, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
-        end = np.array([end_id], enc.dtype).tobytes()
         keys: list = []
-        raw: list[bytes] = []
+        raw: list[np.ndarray] = []
         held = 0
 
         def flush():
             nonlocal no, held
-            lengths = np.array([len(x) // enc.dtype.itemsize for x in raw], np.int64)
-            body = encode_segment(np.frombuffer(b"".join(raw), enc.dtype), keys, lengths)
+            lengths = np.array([len(x) for x in raw], np.int64)
+            body = encode_segment(np.concatenate(raw), keys, lengths)
             row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([no], pa.int32()), pa.array([int(lengths.sum())], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([body], pa.binary())], names=["segment_part", "segment_no", "n_ids", "n_docs", "body"])
             no, held = no + 1, 0
             keys.clear()
@@ -175,14 +174,16 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, segment_ids: int
             return row
 
         for table in tables:
-            ids, texts = table.column(0).to_pylist(), [t or "" for t in table.column(1).to_pylist()]
-            for a, b in batches(texts):
-                for key, x in zip(ids[a:b], enc.encode(texts[a:b])):
-                    if raw and held + len(x) // enc.dtype.itemsize >= segment_ids:
+            doc_ids = table.column(0).to_pylist()
+            for first, ids, stops in enc.ended(table.column(1), end_id):
+                last = 0
+                for key, stop in zip(doc_ids[first : first + len(stops)], stops.tolist()):
+                    if raw and held + stop - last > segment_ids:
                         yield flush()
                     keys.append(key)
-                    raw.append(x + end)
-                    held += len(x) // enc.dtype.itemsize + 1
+                    raw.append(ids[last:stop])
+                    held += stop - last
+                    last = stop
         if raw:
             yield flush()
 

@@ -603,3 +603,22 @@ def test_any_token_by_its_place_among_all(spark, tmp_path):
     asked = [0, 1, 699, 700, 701, len(ids) - 1, len(ids) // 2, 5, 5]
     got = tokenfile.tokens_at(segments, spark.createDataFrame([(i,) for i in [*asked, len(ids), -1, None]], "token_index long"), width=512).collect()
     assert sorted(((r["token_index"], r["token"]) for r in got), key=str) == sorted([*((i, ids[i]) for i in asked), (len(ids), None), (-1, None), (None, None)], key=str)
+
+
+def test_segments_are_as_full_as_whole_documents_allow(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from millrace.llm import tokenfile
+
+    tok, texts = Tokenizer.from_file(tokenizer_path()), odd_texts()
+    sizes = [len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts]
+    tokenfile.write_tokens(frame(spark, texts).coalesce(1), str(tmp_path / "g"), tokenizer_path(), segment_ids=700)
+    rows = spark.read.schema(tokenfile.SEGMENT).parquet(str(tmp_path / "g")).orderBy("segment_part", "segment_no").collect()
+    at = 0
+    for k, r in enumerate(rows):
+        held = sizes[at : at + r["n_docs"]]
+        at += r["n_docs"]
+        assert sum(held) == r["n_ids"] and (r["n_ids"] <= 700 or r["n_docs"] == 1)
+        last = k + 1 == len(rows) or rows[k + 1]["segment_part"] != r["segment_part"]
+        assert last or r["n_ids"] + sizes[at] > 700
+    assert at == len(texts)
