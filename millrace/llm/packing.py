@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
+from .common import tidy
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -120,6 +121,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, piece: int = 256
                     last = stop
                 place(False)
                 yield batch()
+            tidy()
         place(True)
         yield batch()
 

@@ -21,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder5
+from .bpe import slices
+from .common import alone, remainder5
 
 #: Rows of either label, at most about, that the model is fitted on. Chosen by a hash of the id.
 SAMPLE = 8_000
 #: Terms of the lexicon at most.
 TERMS = 2_000
+#: Beginnings of words at most, about, that a task counts before it sends what it has.
+COUNTED = 100_000
 #: Words to either side of a hit that are its context.
 WINDOW = 6
 _EDGE, _END = re.compile(r"^\W+|\W+$"), re.compile(r"\W+$")
@@ -157,7 +160,7 @@ class Lexicon:
 class Scanner:
     """Features of texts under what was learned. At most `memo` words that were met are remembered; features don't depend on it."""
 
-    def __init__(self, words: Terms, memo: int = 500_000):
+    def __init__(self, words: Terms, memo: int = 100_000):
         self.lexicon, self.innocent, self.memo, self.known = Lexicon(words.terms), words.innocent, memo, {}
 
     def _edits(self, word: str) -> int:
@@ -211,14 +214,34 @@ def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["id"]).select("doc_id", "text", "toxic")
 
 
+def _texts(table: pa.RecordBatch, column: int = 1) -> Iterator[tuple[int, str]]:
+    """The texts of a batch with their places; about 1 MB of them are Python's at a time. A null is an empty one."""
+    texts = table.column(column)
+    for a, b in slices(texts, 1 << 20):
+        for i, text in enumerate(texts.slice(a, b - a).to_pylist(), a):
+            yield i, text or ""
+
+
 def _beginnings(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, whole, toxic, n, contexts): in how many texts of a label a beginning of a word occurs outside of quotations, and 64 bits of the words before it."""
+    """(term, whole, toxic, n, contexts): in how many texts of a label a beginning of a word occurs outside of quotations, and 64 bits of the words before it.
+
+    A term may have several rows: those of a task are added up until there are COUNTED.
+    """
+    found: dict[tuple[str, bool, int], list[int]] = {}
+
+    def counted() -> pa.RecordBatch:
+        keys = list(found)
+        bits = [found[k][1] - (1 << 64) * (found[k][1] >> 63) for k in keys]
+        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([k[2] for k in keys], pa.int32()), pa.array([found[k][0] for k in keys], pa.int64()), pa.array(bits, pa.int64())], names=["term", "whole", "toxic", "n", "bits"])
+        found.clear()
+        return out
+
     for table in tables:
-        found: dict[tuple[str, bool, int], list[int]] = {}
-        for text, toxic in zip(table.column(1).to_pylist(), table.column(2).to_pylist()):
+        labels = table.column(2).to_pylist()
+        for at, text in _texts(table):
             here: dict[tuple[str, bool], int] = {}
-            before, words = "", (text or "").lower().split()
-            aside = quoted_places(text or "", words)
+            before, words = "", text.lower().split()
+            aside = quoted_places(text, words)
             for i, w in enumerate(words):
                 bare = _EDGE.sub("", w)
                 if i not in aside and len(bare) > 3 and bare[:4].isalpha():
@@ -229,12 +252,12 @@ def _beginnings(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         here[bare, True] = here.get((bare, True), 0) | bit
                 before = bare
             for key, bits in here.items():
-                x = found.setdefault((*key, toxic), [0, 0])
+                x = found.setdefault((*key, labels[at]), [0, 0])
                 x[0] += 1
                 x[1] |= bits
-        keys = list(found)
-        bits = [found[k][1] - (1 << 64) * (found[k][1] >> 63) for k in keys]
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([k[2] for k in keys], pa.int32()), pa.array([found[k][0] for k in keys], pa.int64()), pa.array(bits, pa.int64())], names=["term", "whole", "toxic", "n", "bits"])
+            if len(found) >= COUNTED:
+                yield counted()
+    yield counted()
 
 
 def learn_lexicon(sample: DataFrame, support: float = 0.01, contexts: int = 6, lift: float = 12.0) -> list[tuple[str, bool]]:
@@ -243,7 +266,7 @@ def learn_lexicon(sample: DataFrame, support: float = 0.01, contexts: int = 6, l
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not size.get(1):
         return []
-    counted = sample.mapInArrow(_beginnings, "term string, whole boolean, toxic int, n long, bits long").groupBy("term", "whole").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"), F.bit_count(F.bit_or(F.when(F.col("toxic") == 1, F.col("bits")).otherwise(0))).alias("contexts"))
+    counted = sample.mapInArrow(alone(_beginnings), "term string, whole boolean, toxic int, n long, bits long").groupBy("term", "whole").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"), F.bit_count(F.bit_or(F.when(F.col("toxic") == 1, F.col("bits")).otherwise(0))).alias("contexts"))
     rate = (F.col("bad") / size[1]) / ((F.col("good") + 0.5) / max(1, size.get(0, 0)))
     good = counted.where((F.col("bad") >= max(3, support * size[1])) & (F.col("contexts") >= contexts) & (rate >= lift))
     rows = {(r["term"], r["whole"]): r["bad"] for r in good.orderBy(F.desc("bad"), "term", "whole").limit(20 * TERMS).collect()}
@@ -265,16 +288,16 @@ def learn_innocent(sample: DataFrame, terms: list[tuple[str, bool]], lift: float
     def work(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(Terms(terms))
         for table in tables:
-            words, labels = [], []
-            for text, toxic in zip(table.column(1).to_pylist(), table.column(2).to_pylist()):
-                here = sorted(set((text or "").lower().split()))
+            words, labels, toxics = [], [], table.column(2).to_pylist()
+            for i, text in _texts(table):
+                here = sorted(set(text.lower().split()))
                 near = {_EDGE.sub("", w) for w, e in zip(here, scanner.marks(here)) if e > 0}
                 words += near
-                labels += [toxic] * len(near)
+                labels += [toxics[i]] * len(near)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32())], names=["word", "toxic"])
 
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    counts = sample.mapInArrow(work, "word string, toxic int").groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good")).where("good > 0")
+    counts = sample.mapInArrow(alone(work), "word string, toxic int").groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good")).where("good > 0")
     often = (F.col("bad") / max(1, size.get(1, 0))) >= lift * (F.col("good") / max(1, size.get(0, 0)))
     return frozenset(r["word"] for r in counts.where(~often).select("word").collect())  # words of at most about 2 * SAMPLE texts
 
@@ -283,10 +306,10 @@ def _features(sample: DataFrame, words: Terms) -> np.ndarray:
     def work(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(words)
         for table in tables:
-            x = [scanner.features(t or "") for t in table.column(1).to_pylist()]
+            x = [scanner.features(t) for _, t in _texts(table)]
             yield pa.RecordBatch.from_arrays([table.column(2), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    rows = sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(work, "toxic int, x array<double>").collect()  # about 2 * SAMPLE rows of FEATURES numbers
+    rows = sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(alone(work), "toxic int, x array<double>").collect()  # about 2 * SAMPLE rows of FEATURES numbers
     return np.array([[r["toxic"], *r["x"]] for r in rows]).reshape(len(rows), FEATURES + 1)
 
 
@@ -338,12 +361,12 @@ def score(docs: DataFrame, words: Terms, weights: list[float], column: str = "sc
         scanner = Scanner(words)
         for table in tables:
             scores = []
-            for t in table.column(table.schema.get_field_index("text")).to_pylist():
-                z = weights[0] + sum(a * b for a, b in zip(weights[1:], scanner.features(t or "")))
+            for _, t in _texts(table, table.schema.get_field_index("text")):
+                z = weights[0] + sum(a * b for a, b in zip(weights[1:], scanner.features(t)))
                 scores.append(1 / (1 + exp(-max(-40.0, min(40.0, z)))))
             yield table.append_column(column, pa.array(scores, pa.float64()))
 
-    return docs.mapInArrow(work, type(schema)([*schema.fields, *_double(column)]))
+    return docs.mapInArrow(alone(work), type(schema)([*schema.fields, *_double(column)]))
 
 
 def _double(name: str):

@@ -1,8 +1,10 @@
 """Contracts of the training-data operators against brute force, their edge cases, and the pipeline stage by stage."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -303,6 +305,37 @@ def test_automaton_equals_edit_distances():
         assert lex.find(word) == (None if best == 9 else best), word
 
 
+def test_beginnings_of_many_words_are_counted_in_little_memory():
+    """Texts whose words hardly ever repeat: a task sends what it has counted before it holds those of a whole batch."""
+    rng, letters = np.random.default_rng(5), np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = [" ".join("".join(letters[w]) for w in rng.integers(0, 26, (100, 9))) for _ in range(700)]
+    texts += ["odd shortword shortword", None, ""] * 2
+    labels = [i % 2 for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string()), pa.array(labels, pa.int32())], names=["doc_id", "text", "toxic"])
+    wanted: dict = {}
+    for text, toxic in zip(texts, labels):
+        words = set((text or "").split())
+        for key in {(w[:k], False) for w in words for k in range(4, 9) if len(w) > max(3, k)} | {(w, True) for w in words if len(w) > 3}:
+            wanted[(*key, toxic)] = wanted.get((*key, toxic), 0) + 1
+    tracemalloc.start()
+    next(toxicity._beginnings(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6, f"{peak / 1e6:.0f} MB"
+    found: dict = {}
+    for out in toxicity._beginnings(iter([batch.slice(0, 300), batch.slice(300)])):
+        for term, whole, toxic, n in zip(*(out.column(k).to_pylist() for k in range(4))):
+            found[term, whole, toxic] = found.get((term, whole, toxic), 0) + n
+    assert found == wanted
+
+
+def test_a_task_begins_without_the_encoders_of_earlier_ones():
+    """Spark uses a Python worker again: what the packing kept there isn't added to what the next operator takes."""
+    bpe.encoder(tokenizer_path()).encode(["some words to keep"])
+    assert bpe._ENCODERS and list(common.alone(lambda tables: tables)(iter(()))) == []
+    assert not bpe._ENCODERS
+
+
 def test_misspelled_abuse_is_abuse_and_quoted_abuse_is_not(spark):
     rng = np.random.default_rng(3)
     words = [f"w{c}{d}" for c in "abcdefgh" for d in "abcdefgh"] + ["idiom"]
